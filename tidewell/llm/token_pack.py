@@ -147,6 +147,19 @@ def library(path: str):
     return t, [len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())]
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, of: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """The runs of flat that `of` names, one after the other; in steps, so that no index of all of them is held."""
+    count = counts[of]
+    out = np.empty(int(count.sum()), flat.dtype)
+    done = 0
+    for a in range(0, len(of), step):
+        n, first = count[a : a + step], starts[of[a : a + step]]
+        size = int(n.sum())
+        out[done : done + size] = flat[np.arange(size) + np.repeat(first - (np.cumsum(n) - n), n)]
+        done += size
+    return out
+
+
 def encode_slice(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts by the tokenizers library, one after the other, and how many each has.
 
@@ -162,7 +175,7 @@ def encode_slice(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarr
     parts = pc.split_pattern(texts, " ")
     offsets = parts.offsets.to_numpy()
     coded = parts.values.dictionary_encode()
-    codes, pieces = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    codes, pieces = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
     first = offsets[:-1]
     odd = pc.match_substring_regex(pieces, UNSAFE_PIECE).to_numpy(zero_copy_only=False)[codes]
     odd[first] = False
@@ -179,11 +192,11 @@ def encode_slice(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarr
     # distinct pieces, each after its space, in long strings; the ids' lengths in bytes show where each piece ends
     chosen = pieces.take(pa.array(inner))
     ends = np.cumsum(pc.binary_length(chosen).to_numpy(zero_copy_only=False).astype(np.int64) + 1) if len(inner) else np.zeros(0, np.int64)
-    strings = chosen.to_pylist()
     ids: list[np.ndarray] = []
-    bulk = [" " + " ".join(strings[a : a + 4096]) for a in range(0, len(strings), 4096)]
-    for e in t.encode_batch_fast(bulk, add_special_tokens=False) if bulk else []:
-        ids.append(np.array(e.ids, np.uint32))
+    for a in range(0, len(inner), 1 << 16):
+        strings = chosen.slice(a, 1 << 16).to_pylist()
+        bulk = [" " + " ".join(strings[b : b + 4096]) for b in range(0, len(strings), 4096)]
+        ids += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(bulk, add_special_tokens=False)]
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     place = np.searchsorted(np.cumsum(np.array(size, np.int64)[flat]), ends, side="left") + 1 if len(inner) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([[0], place]))
@@ -193,7 +206,7 @@ def encode_slice(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarr
     counts = np.concatenate([counts, np.array([len(x) for x in more], np.int64)]).astype(np.int64)
     starts = np.cumsum(counts) - counts
 
-    number = np.zeros(len(pieces), np.int64)
+    number = np.zeros(len(pieces), np.int32)
     number[inner] = np.arange(len(inner))
     of = number[codes]
     of[first[heads]] = len(inner) + np.arange(len(heads))
@@ -201,7 +214,7 @@ def encode_slice(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarr
     keep[first] = True
     of = of[keep]
     of_count = counts[of]
-    out = flat[np.arange(int(of_count.sum())) + np.repeat(starts[of] - (np.cumsum(of_count) - of_count), of_count)]
+    out = gather(flat, starts, counts, of)
     per_piece = np.zeros(len(codes), np.int64)
     per_piece[keep] = of_count
     return out, np.add.reduceat(per_piece, first)
@@ -237,7 +250,7 @@ def write_packed(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_co
         with new_file(path) as out:
             writer = PackWriter(out, t.get_vocab_size())
             while batch is not None:
-                for part in text_slices(batch):
+                for part in text_slices(batch, most_bytes=16 << 20):
                     ids, lengths = with_end(*encode_slice(part.column(1), vocabulary), end_id)
                     own = part.column(0)
                     writer.add(pc.fill_null(own, 0).to_numpy(zero_copy_only=False), pc.is_valid(own).to_numpy(zero_copy_only=False), ids, lengths)
