@@ -244,11 +244,11 @@ def encode_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", tex
         for batch in batches:
             for part in text_slices(batch):
                 ids, at = bpe.encode_slice(part.column(1))
-                seen, hashed, decoded = ids.tolist(), [], []
+                hashed, decoded = [], []
                 kept: tuple[list, list] = ([], [])
                 ends = at.tolist()
                 for a, b in zip(ends, ends[1:]):
-                    own = seen[a:b]
+                    own = ids[a:b].tolist()
                     hashed.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, own)).encode()).hexdigest())
                     text = bpe.decode(own)
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
