@@ -66,7 +66,7 @@ def new_file(uri: str) -> Iterator[pa.NativeFile]:
     """A file to write to, of any store that pyarrow knows; on an error it is removed."""
     fs, path = _filesystem(uri)
     fs.create_dir(posixpath.dirname(path), recursive=True)
-    out = fs.open_output_stream(path)
+    out = fs.open_output_stream(path, compression=None)
     try:
         yield out
     except BaseException:

@@ -88,6 +88,15 @@ def pieces(word: str) -> list[str]:
     return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - OVERLAP, LONGEST - OVERLAP)]
 
 
+def views(word: str) -> list[str]:
+    """What of a word is scored: it without signs at its ends, and without any, in pieces."""
+    w = clean(word)
+    if not w:
+        return []
+    bare = w if w.isalnum() else "".join(c for c in w if c.isalnum())
+    return pieces(w) if bare == w else pieces(w) + pieces(bare)
+
+
 def coded(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Words by length: their numbers, the codes of their subsequences, and the subsequences' weights."""
     by: dict[int, list[int]] = defaultdict(list)
@@ -168,16 +177,17 @@ def hashed(text: str) -> int:
 
 
 def stretched(word: str, k: int) -> list[str]:
-    """The word with a character put in or doubled."""
+    """The word with a letter put in or doubled."""
     h = hashed(f"{word}{k}")
     at = 1 + h % max(1, len(word) - 1)
-    return [word[:at] + ".-*_x"[(h >> 8) % 5] + word[at:], word[:at] + word[at - 1] + word[at:]]
+    return [word[:at] + "xvhzk"[(h >> 8) % 5] + word[at:], word[:at] + word[at - 1] + word[at:]]
 
 
 def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
     """From texts and labels: the table of weights (the last entry is the bias), and the curve's slope and shift."""
     rows = sorted(((text_words(t), y) for t, y in rows), key=lambda r: hashed(" ".join(r[0])))
-    contexts: dict[str, set] = defaultdict(set)
+    before: dict[str, set] = defaultdict(set)
+    after: dict[str, set] = defaultdict(set)
     toxic, harmless = Counter(), Counter()
     held = rows[::4]
     for k, (words, y) in enumerate(rows):
@@ -186,12 +196,12 @@ def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
         if y:
             toxic.update(set(words))
             for a, w, b in zip(["", *words], words, [*words[1:], ""]):
-                if len(own := contexts[w]) < 8:
-                    own.add((a, b))
+                before[w].add(a) if len(before[w]) < 8 else None
+                after[w].add(b) if len(after[w]) < 8 else None
         else:
             harmless.update(set(words))
     n1, n0 = max(1, sum(1 for k, r in enumerate(rows) if k % 4 and r[1])), max(1, sum(1 for k, r in enumerate(rows) if k % 4 and not r[1]))
-    lift = {w: (c / n1) / ((harmless[w] + 0.5) / n0) for w, c in toxic.items() if c >= 3 and len(contexts[w]) >= 3 and 3 <= len(w) <= LONGEST}
+    lift = {w: (c / n1) / ((harmless[w] + 0.5) / n0) for w, c in toxic.items() if c >= 4 and len(before[w]) >= 4 and len(after[w]) >= 4 and 3 <= len(w) <= LONGEST}
     bad = sorted((w for w, x in lift.items() if x >= 25), key=lambda w: (-toxic[w], w))[:2000]
     table = np.zeros(32**ORDER, np.float32)
     table = np.append(table, np.float32(-1))
@@ -201,7 +211,7 @@ def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
     pool = sorted((w for w in harmless if w not in known and len(w) <= LONGEST), key=hashed)
     more = [v for k in range(2) for w in bad[:600] for v in stretched(w, k) if v not in harmless]
     good = pool[:NEGATIVES]
-    chosen = sorted(bad, key=hashed)[: LANDMARKS * 2 // 3]
+    chosen = list(dict.fromkeys(bad[: LANDMARKS // 3] + sorted(bad, key=hashed)[: LANDMARKS // 3] + sorted(more, key=hashed)[: LANDMARKS // 9]))
     landmarks: list[str] = []
     for _ in range(ROUNDS):
         words = bad + more + good
@@ -211,7 +221,7 @@ def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
         whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
         x = kernel(words, landmarks) @ whiten.astype(np.float32)
         y = np.array([1.0] * (len(bad) + len(more)) + [-1.0] * len(good))
-        cost = np.where(y > 0, 10.0, 10.0)
+        cost = np.array([20 * (1 + np.log(toxic[v])) for v in bad] + [10.0] * (len(words) - len(bad)))
         w = svm(x, y, cost)
         beta = whiten @ w[:-1]
         table[:] = 0
@@ -228,7 +238,7 @@ def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
             break
         good = good + fresh
     # the curve, on texts kept out: regularised logistic regression by Newton's steps, classes weighted alike
-    flat = [(w, k) for k, (words, _) in enumerate(held) for v in words for w in pieces(v)]
+    flat = [(w, k) for k, (words, _) in enumerate(held) for v in words for w in views(v)]
     distinct = {w: i for i, w in enumerate(dict.fromkeys(w for w, _ in flat))}
     f = margins(list(distinct), table)
     top = np.full(len(held), NO_WORD)
@@ -259,8 +269,7 @@ def slice_margins(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     owner: list[int] = []
     place: list[int] = []
     for i, w in enumerate(coded_words.dictionary.to_pylist()):
-        w = clean(w)
-        for p in pieces(w) if w else ():
+        for p in views(w):
             owner.append(i)
             place.append(number.setdefault(p, len(number)))
     best = np.full(len(coded_words.dictionary), NO_WORD, np.float32)
