@@ -1,15 +1,61 @@
-"""The corpus pipeline: stages that each take the documents their predecessor kept."""
+"""The corpus pipeline: stages that each take the documents their predecessor kept.
+
+Language ID, toxicity, near-dedup and decontamination return the columns of documents, without the rows they reject;
+the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewell.llm import bpe_trie, decontaminate, language_id, near_copies, toxicity
 from tidewell.llm.shared import stored, work_dir
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with a confidence of over a half.
+
+    The declared language is lang and the host is source; an id that is rejected in any of its rows goes.
+    """
+    model = language_id.fit(docs)
+    found = language_id.identify(docs, model, work_dir(spark, "stage-language"), "doc_id", F.col("text"), F.col("lang"), F.col("source"))
+    bad = found.where("lang = 'und'").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the cut."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_copies.dedup(docs, work_dir(spark, "stage-copies"))
+
+
+def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of what they decode to."""
+    return bpe_trie.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identified),
+    ("toxicity", civil),
+    ("near_copies", distinct),
+    ("decontaminate", unleaked),
+    ("bpe", encoded),
+]
+
+#: SQL cannot train the classifiers or encode; tests/llm/test_pipeline.py holds the rows against plain versions.
 ORACLE_SQL = None
 
 

@@ -234,10 +234,10 @@ def encode_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", tex
     """Encode every text and decode the ids again.
 
     Returns the id, n_tokens, ids_sha256 (hex of the decimal ids joined by commas) and decoded_sha256 (hex of the
-    decoded text in UTF-8); with_ids adds ids and decoded themselves. One pass over the rows, no shuffle; memory is
+    decoded text in UTF-8); with_ids adds the ids themselves. One pass over the rows, no shuffle; memory is
     bounded by slices of 24 MB of text, or one text that is longer. Null texts count as empty; other columns are ignored.
     """
-    schema = f"id {dict(df.dtypes)[id_column]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = f"id {dict(df.dtypes)[id_column]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary)
@@ -245,21 +245,16 @@ def encode_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", tex
             for part in text_slices(batch):
                 ids, at = bpe.encode_slice(part.column(1))
                 hashed, decoded = [], []
-                kept: tuple[list, list] = ([], [])
                 ends = at.tolist()
                 for a, b in zip(ends, ends[1:]):
                     own = ids[a:b].tolist()
                     hashed.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, own)).encode()).hexdigest())
-                    text = bpe.decode(own)
-                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
-                    if with_ids:
-                        kept[0].append(own)
-                        kept[1].append(text)
+                    decoded.append(hashlib.sha256(bpe.decode(own).encode()).hexdigest())
                 columns = [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array(kept[0], pa.list_(pa.int32())), pa.array(kept[1], pa.string())]
-                    names += ["ids", "decoded"]
+                    columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
+                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     out = df.select(*[c.alias(n) for c, n in zip(pick(df, id_column, text_column), ("id", "text"))]).mapInArrow(run, schema)

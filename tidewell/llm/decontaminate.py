@@ -15,6 +15,7 @@ it. Nothing is shuffled but the few found rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -110,24 +111,27 @@ def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYT
     Null texts hold nothing, null items are in nothing, repeated rows of texts give repeated rows and repeated items
     count once; a null id stays null. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    kind = dict(items.dtypes)[item_id]
+    schema = f"id {dict(docs.dtypes)[id_column]}, item_id {kind}, n_words long, first_word long, last_word long"
+    texts = docs.select(*[c.alias(n) for c, n in zip(pick(docs, id_column, text_column), ("id", "text"))])
+    found = [texts.mapInArrow(_finder(held, kind), schema) for held in blocks_of(items, block_bytes, item_id, item_text)]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_column)
+
+
+def blocks_of(items: DataFrame, block_bytes: int, item_id: str, item_text: str) -> list:
+    """The distinct items in broadcast blocks of about block_bytes each; one empty block if there are none."""
+    spark = items.sparkSession
     items = items.select(*[c.alias(n) for c, n in zip(pick(items, item_id, item_text), ("id", "text"))]).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
-    schema = f"id {dict(docs.dtypes)[id_column]}, item_id {dict(items.dtypes)['id']}, n_words long, first_word long, last_word long"
-    texts = docs.select(*[c.alias(n) for c, n in zip(pick(docs, id_column, text_column), ("id", "text"))])
-    out: DataFrame | None = None
+    out = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        held = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in sorted(block, key=lambda r: (r["text"], str(r["id"])))])
-        found = texts.mapInArrow(_finder(held, schema), schema)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id", id_column)
-
+        out.append(spark.sparkContext.broadcast([(r["id"], r["text"]) for r in sorted(block, key=lambda r: (r["text"], str(r["id"])))]))
+    return out
 
-def _finder(held, schema: str):
-    item_type = schema.split(", ")[1].split(" ", 1)[1]
 
+def _finder(held, item_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(held.value)
         for batch in batches:
@@ -142,8 +146,22 @@ def _finder(held, schema: str):
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose text holds no passage of an item; rows with a null id are kept if their text holds none."""
-    key = options.get("id_column", "doc_id")
-    bad = contaminated(docs, items, **options).select(F.col(key).alias("bad_id")).distinct()
-    return docs.join(bad, docs[f"`{key}`"].eqNullSafe(bad["bad_id"]), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text holds no passage of an item; no shuffle."""
+    at = docs.columns.index(text_column)
+    for held in blocks_of(items, block_bytes, item_id, item_text):
+        docs = docs.mapInArrow(_filter(held, text_column, at), docs.schema)
+    return docs
+
+
+def _filter(held, text_column: str, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(held.value)
+        for batch in batches:
+            for part in text_slices(batch, text_column, 4 << 20):
+                words, begins = word_hashes(pa.compute.utf8_lower(part.column(at)), True)
+                keep = np.ones(part.num_rows, bool)
+                keep[[row[0] for row in index.find(words, begins)]] = False
+                yield part.filter(pa.array(keep))
+
+    return run

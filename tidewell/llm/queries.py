@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe_trie, chat_collapse, decontaminate, near_copies, token_pack, toxicity, warc_zstd
+from tidewell.llm import bpe_trie, chat_collapse, decontaminate, language_id, lattice_links, near_copies, token_pack, toxicity, url_ratio, warc_zstd
 from tidewell.llm.shared import work_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,3 +102,34 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.b, r.root FROM
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON node = doc_id
 """
+
+
+@query
+def op2_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_links.lattice_links(table(spark, sf_dir, "embeddings"), work_dir(spark, "op2"))
+
+
+ORACLE_SQL["op2_lattice_links"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op5_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_ratio.judge(pages, URL_RULES, url_ratio.train(pages))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.fit(table(spark, sf_dir, "documents"))
+    return language_id.identify_pages(table(spark, sf_dir, "pages"), model, work_dir(spark, "op8"))

@@ -310,5 +310,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], id_column: st
     return out.withColumnRenamed("id", id_column)
 
 
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float, float], text_column: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of docs, with all columns, whose score is below cut; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, slope, shift = held.value
+        for batch in batches:
+            for part in text_slices(batch, text_column, 16 << 20):
+                z = np.clip(slice_margins(part.column(at), table), -2, 2).astype(np.float64)
+                yield part.filter(pa.array(1 / (1 + np.exp(-(slope * z + shift))) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_fold(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % 3
