@@ -10,11 +10,12 @@ probability J, so sketches of linked texts share most values. The steps:
 3. Inverted lists of the retained values. Texts on one list of at most SHORT texts are candidates with each other. A
    linked text differs from its partner in at most a quarter of its set; so a text with clearly more than a quarter
    of its retained values on short lists meets every partner on one of those, and leaves the long lists.
-4. What stays on long lists are large groups of copies. Each takes part in the long lists of its JOINED smallest
-   values only, and is a candidate with a few pivots of each list, not with all of it.
-5. Candidates are estimated on the sketch of the union, and verified on full sets, read from the texts. Texts already
-   known to be in one component need no further comparison, so each round verifies the best open candidate of each
-   text; the components grow, and the rounds end when no candidate joins two of them.
+4. What stays on long lists are large groups of copies; two of them share most of their long lists, so they do not
+   meet on short ones. Each takes part in the long lists of its JOINED smallest values, and is a candidate with a
+   few pivots of each list, not with all of it.
+5. Candidates are estimated on the sketch of the union, and verified on full sets. Where both sketches hold the whole
+   sets, that is at once; else the sets are read from the texts. Texts already known to be in one component need no
+   further comparison, so the first rounds verify the best open candidate of each text, and later ones what is left.
 6. Texts of long lists that are still in different components are then compared in full, list by list.
 
 Empty sets are linked with nothing. Rows with equal ids are one node; a null id has its size and no component.
@@ -33,13 +34,12 @@ from tidewell.llm.shared import connected, pick, stored, text_slices
 from tidewell.llm.words import shingles, word_hashes
 
 WORDS, PERCENT = 5, 75
-SKETCH, PROBE, SHORT, JOINED, PIVOTS = 128, 16, 24, 8, 4
+SKETCH, PROBE, SHORT, JOINED, PIVOTS = 128, 16, 24, 16, 2
 #: Share of retained values on short lists above which a text leaves the long lists: a quarter, and four deviations
 #: of a sketch's share if the sketch holds a part of the set only.
 RARE_WHOLE, RARE_PART = 0.25, 0.42
 #: Candidates whose estimate is four deviations below the limit are dropped; small sets are estimated exactly.
-LEAST_ESTIMATE = 0.60
-ROUNDS = 12
+LEAST_ESTIMATE, LIKELY_ESTIMATE = 0.60, 0.70
 
 
 def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -87,18 +87,25 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their estimate e, those far below the limit left out."""
+    """Pairs (a, b) with their estimate e, those far below the limit left out; sure where the sets are whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            e = np.array([estimate(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(left, right)], np.float64)
+            e, sure = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            whole = (np.asarray(batch.column(4)) <= SKETCH) & (np.asarray(batch.column(5)) <= SKETCH)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                if whole[k]:
+                    sure[k] = linked(x, y)
+                    e[k] = float(sure[k])
+                else:
+                    e[k] = estimate(x, y)
             keep = pa.array(e >= LEAST_ESTIMATE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(e).filter(keep)], ["a", "b", "e"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(e).filter(keep), pa.array(sure).filter(keep)], ["a", "b", "e", "sure"])
 
-    x = sketches.select(F.col("id").alias("a"), F.col("values").alias("x"))
-    y = sketches.select(F.col("id").alias("b"), F.col("values").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, e double")
+    x = sketches.select(F.col("id").alias("a"), F.col("values").alias("x"), F.col("n").alias("nx"))
+    y = sketches.select(F.col("id").alias("b"), F.col("values").alias("y"), F.col("n").alias("ny"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long, e double, sure boolean")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -118,28 +125,45 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _settle(candidates: DataFrame, links: DataFrame, texts: DataFrame, work: str) -> DataFrame:
-    """Verify candidates (a, b, e) until none joins two components; returns links that span the components."""
-    for k in range(ROUNDS):
-        joined = connected(links, f"{work}/c{k}")
-        left = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        named = candidates.join(left, "a", "left").join(right, "b", "left").select("a", "b", "e", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        open_ = named.where("ca <> cb")
-        if k < ROUNDS - 1:
-            # the best candidate of each text and of each component; the rest waits
-            best = open_.groupBy("b").agg(F.max_by(F.struct("a", "b"), F.struct("e", "a")).alias("p")).select("p.*")
-            side = open_.groupBy("a").agg(F.max_by(F.struct("a", "b"), F.struct("e", "b")).alias("p")).select("p.*")
+def _extended(components: DataFrame, edges: DataFrame, work: str) -> DataFrame:
+    """components (node, component), joined further by edges (a, b) between components."""
+    more = connected(edges, work)
+    old = components.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stored(old.union(more.join(components, "node", "left_anti").select("node", "component")), f"{work}/extended")
+
+
+def _settle(candidates: DataFrame, components: DataFrame, texts: DataFrame, work: str) -> DataFrame:
+    """Join components by candidates (a, b, e, sure) that are linked; candidates inside one component are not looked at."""
+    components = _extended(components, _between(candidates.where("sure"), components).select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"{work}/sure")
+    candidates = candidates.where("not sure")
+    for k in range(4):
+        open_ = _between(candidates, components)
+        if k < 2:
+            # the best candidate of each text; the rest waits
+            best = open_.groupBy("b").agg(F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("e", "a")).alias("p")).select("p.*")
+            side = open_.groupBy("a").agg(F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("e", "b")).alias("p")).select("p.*")
             now = best.union(side).distinct()
         else:
-            now = open_.select("a", "b").distinct()
+            now = open_.where(F.col("e") >= (LIKELY_ESTIMATE if k == 2 else 0.0)).select("a", "b", "ca", "cb")
         now = stored(now, f"{work}/now{k}")
         if now.isEmpty():
-            break
-        links = stored(links.union(_verified(now, texts)), f"{work}/links{k}")
+            if k < 2:
+                break
+            continue
+        good = _verified(now, texts).join(now, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        components = _extended(components, good, f"{work}/round{k}")
         # what was compared is done, linked or not
-        candidates = stored(open_.select("a", "b", "e").join(now, ["a", "b"], "left_anti"), f"{work}/open{k}")
-    return links
+        if k < 3:
+            candidates = stored(open_.select("a", "b", "e").join(now, ["a", "b"], "left_anti"), f"{work}/open{k}")
+    return components
+
+
+def _between(candidates: DataFrame, components: DataFrame) -> DataFrame:
+    """Candidates whose texts are in different components, with those: ca and cb."""
+    left = components.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    right = components.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    named = candidates.join(left, "a", "left").join(right, "b", "left").select("a", "b", "e", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    return named.where("ca <> cb")
 
 
 def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -165,8 +189,9 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     whole = F.col("n") * 4 <= SKETCH * 3
     hot = stored(going.join(long_share, "id").where(rare <= F.when(whole, F.lit(RARE_WHOLE)).otherwise(F.lit(RARE_PART))).select("id"), f"{work}/hot")
 
-    short = lists.where(F.col("c") <= SHORT).select("v", "id")
-    pairs = short.select("v", F.col("id").alias("a")).join(short.select("v", F.col("id").alias("b")), "v").where("a < b").select("a", "b").distinct()
+    short = lists.where(F.col("c") <= SHORT).select("v", "id").join(hot.withColumn("hot", F.lit(True)), "id", "left").select("v", "id", F.coalesce("hot", F.lit(False)).alias("hot"))
+    left, right = short.select("v", F.col("id").alias("a"), F.col("hot").alias("ha")), short.where("not hot").select("v", F.col("id").alias("b"))
+    pairs = left.join(right, "v").where("a < b or (ha and a <> b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # 4. long lists of those that stay on them
     ranked = lists.where(F.col("c") > SHORT).join(hot, "id").groupBy("id").agg(F.slice(F.array_sort(F.collect_list("v")), 1, JOINED).alias("vs"))
@@ -176,16 +201,15 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     star = member.join(pivots, "v").select("id", F.explode("ps").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
     # 5. estimate and verify
-    sketches = reps.select("id", "values")
+    sketches = reps.select("id", "values", "n")
     candidates = stored(_estimated(pairs.union(star).distinct(), sketches), f"{work}/candidates")
     texts = docs.select(*[c.alias(x) for c, x in zip(pick(docs, id_column, text_column), ("id", "text"))]).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(hot).distinct()
+    unsure = candidates.where("not sure")
+    wanted = unsure.select(F.col("a").alias("id")).union(unsure.select("b")).union(hot).distinct()
     texts = stored(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), f"{work}/texts")
-    none = spark.createDataFrame([], "a long, b long")
-    links = _settle(candidates, none, texts, f"{work}/first")
+    joined = _settle(candidates, spark.createDataFrame([], "node long, component long"), texts, f"{work}/first")
 
     # 6. what long lists leave in different components
-    joined = connected(links, f"{work}/second/all")
     at = stored(member.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", F.coalesce("component", "id").alias("component")), f"{work}/placed")
     per = at.groupBy("v", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("v").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("v", "main")
@@ -195,8 +219,7 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     cross = rest.join(others, "v").where("component <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
     left = stored(_estimated(cross, sketches), f"{work}/left")
     if not left.isEmpty():
-        links = _settle(left, links, texts, f"{work}/last")
-        joined = connected(links, f"{work}/third")
+        joined = _settle(left, joined, texts, f"{work}/last")
 
     names = joined.select(F.col("node").alias("rep"), "component")
     named = classes.join(names, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
