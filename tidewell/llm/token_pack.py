@@ -31,6 +31,7 @@ from tidewell.llm.shared import new_file, open_file, pick, stored, text_slices
 
 MAGIC = b"TWPACK01"
 BLOCK_IDS = 1 << 16
+MOST_KNOWN = 1_500_000
 
 
 def width(vocabulary: int) -> int:
@@ -144,7 +145,7 @@ def library(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, [len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())]
+    return t, np.array([len(t.id_to_token(i) or "") for i in range(t.get_vocab_size())], np.int64)
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, of: np.ndarray, step: int = 1 << 18) -> np.ndarray:
@@ -160,14 +161,52 @@ def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, of: np.ndar
     return out
 
 
+class Known:
+    """Pieces that this worker has encoded: the first MOST_KNOWN, which by the order they come in are the frequent ones."""
+
+    def __init__(self) -> None:
+        self.pieces, self.flat, self.counts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def add(self, pieces: pa.Array, flat: np.ndarray, counts: np.ndarray) -> None:
+        room = min(len(pieces), MOST_KNOWN - len(self.pieces))
+        if room > 0:
+            self.pieces = pa.concat_arrays([self.pieces, pieces.slice(0, room)])
+            self.flat = np.concatenate([self.flat, flat[: int(counts[:room].sum())]])
+            self.counts = np.concatenate([self.counts, counts[:room]])
+
+
+@lru_cache(maxsize=2)
+def known_pieces(vocabulary: str) -> Known:
+    return Known()
+
+
+def encode_pieces(pieces: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct pieces, each after its space, one after the other, and how many each has.
+
+    Thousands of pieces make one string for the library; the lengths of its tokens show where each piece ends.
+    """
+    t, size = library(vocabulary)
+    ids: list[np.ndarray] = []
+    for a in range(0, len(pieces), 1 << 16):
+        strings = pieces.slice(a, 1 << 16).to_pylist()
+        bulk = [" " + " ".join(strings[b : b + 4096]) for b in range(0, len(strings), 4096)]
+        ids += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(bulk, add_special_tokens=False)]
+    if not ids:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    flat = np.concatenate(ids)
+    ends = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    place = np.searchsorted(np.cumsum(size[flat]), ends, side="left") + 1
+    return flat, np.diff(np.concatenate([[0], place]))
+
+
 def encode_slice(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts by the tokenizers library, one after the other, and how many each has.
 
     A byte-level pattern always has a border before a single space that a non-space follows, so the library encodes
-    each distinct piece between such borders once, thousands of pieces in one string; texts with other white space
-    around such a border, or with a special token, are given to it whole.
+    each distinct piece between such borders once; texts with other white space around such a border, or with a special
+    token, are given to it whole.
     """
-    t, size = library(vocabulary)
+    t, _ = library(vocabulary)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     if not n:
@@ -189,17 +228,16 @@ def encode_slice(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarr
     used[codes[keep]] = True
     inner = np.flatnonzero(used)
 
-    # distinct pieces, each after its space, in long strings; the ids' lengths in bytes show where each piece ends
     chosen = pieces.take(pa.array(inner))
-    ends = np.cumsum(pc.binary_length(chosen).to_numpy(zero_copy_only=False).astype(np.int64) + 1) if len(inner) else np.zeros(0, np.int64)
-    ids: list[np.ndarray] = []
-    for a in range(0, len(inner), 1 << 16):
-        strings = chosen.slice(a, 1 << 16).to_pylist()
-        bulk = [" " + " ".join(strings[b : b + 4096]) for b in range(0, len(strings), 4096)]
-        ids += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(bulk, add_special_tokens=False)]
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    place = np.searchsorted(np.cumsum(np.array(size, np.int64)[flat]), ends, side="left") + 1 if len(inner) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate([[0], place]))
+    known = known_pieces(vocabulary)
+    found = pc.index_in(chosen, value_set=known.pieces)
+    fresh = chosen.filter(pc.is_null(found))
+    more_flat, more_counts = encode_pieces(fresh, vocabulary)
+    number_of = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    number_of[number_of < 0] = len(known.counts) + np.arange(len(fresh))
+    flat, counts = np.concatenate([known.flat, more_flat]), np.concatenate([known.counts, more_counts])
+    known.add(fresh, more_flat, more_counts)
+    base = len(counts)
     singles = parts.values.take(pa.array(first[heads])).to_pylist() + texts.take(pa.array(whole)).to_pylist()
     more = [e.ids for a in range(0, len(singles), 1024) for e in t.encode_batch_fast(singles[a : a + 1024], add_special_tokens=False)]
     flat = np.concatenate([flat, *(np.array(x, np.uint32) for x in more)])
@@ -207,10 +245,10 @@ def encode_slice(texts: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarr
     starts = np.cumsum(counts) - counts
 
     number = np.zeros(len(pieces), np.int32)
-    number[inner] = np.arange(len(inner))
+    number[inner] = number_of
     of = number[codes]
-    of[first[heads]] = len(inner) + np.arange(len(heads))
-    of[first[whole]] = len(inner) + len(heads) + np.arange(len(whole))
+    of[first[heads]] = base + np.arange(len(heads))
+    of[first[whole]] = base + len(heads) + np.arange(len(whole))
     keep[first] = True
     of = of[keep]
     of_count = counts[of]
