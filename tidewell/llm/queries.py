@@ -81,7 +81,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), work_dir(spark, "op10")))
     return scored.select("doc_id", (toxicity.fold("doc_id") == 1).alias("held_out"), "score", "predicted")
 
 

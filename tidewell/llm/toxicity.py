@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -30,10 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import pick, text_slices
+from tidewell.llm.shared import pick, stored, text_slices
 
 ORDER, GAPS, DECAY = 4, 3, 0.6
-SAMPLE_DOCS, SAMPLE_BYTES = 12_000, 20_000
+SAMPLE_DOCS, SAMPLE_BYTES = 8_000, 20_000
 LANDMARKS, NEGATIVES, ROUNDS, HARD = 320, 12_000, 4, 3_000
 CUT = 0.7
 LONGEST, OVERLAP = 32, 10
@@ -183,25 +183,28 @@ def stretched(word: str, k: int) -> list[str]:
     return [word[:at] + "xvhzk"[(h >> 8) % 5] + word[at:], word[:at] + word[at - 1] + word[at:]]
 
 
-def train(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
+def train(rows: Iterable[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
     """From texts and labels: the table of weights (the last entry is the bias), and the curve's slope and shift."""
-    rows = sorted(((text_words(t), y) for t, y in rows), key=lambda r: hashed(" ".join(r[0])))
-    before: dict[str, set] = defaultdict(set)
-    after: dict[str, set] = defaultdict(set)
+    one: dict[str, str] = {}  # each word is held once
+    rows = [([one.setdefault(w, w) for w in text_words(t)], y, hashed(t or "")) for t, y in rows]
+    rows.sort(key=lambda r: r[2])
+    rows = [r[:2] for r in rows]
     toxic, harmless = Counter(), Counter()
     held = rows[::4]
     for k, (words, y) in enumerate(rows):
-        if k % 4 == 0:
-            continue
-        if y:
-            toxic.update(set(words))
+        if k % 4:
+            (toxic if y else harmless).update(set(words))
+    before: dict[str, set] = defaultdict(set)
+    after: dict[str, set] = defaultdict(set)
+    maybe = {w for w, c in toxic.items() if c >= 4 and 10 * c > harmless[w]}
+    for k, (words, y) in enumerate(rows):
+        if k % 4 and y:
             for a, w, b in zip(["", *words], words, [*words[1:], ""]):
-                before[w].add(a) if len(before[w]) < 8 else None
-                after[w].add(b) if len(after[w]) < 8 else None
-        else:
-            harmless.update(set(words))
+                if w in maybe:
+                    before[w].add(a) if len(before[w]) < 8 else None
+                    after[w].add(b) if len(after[w]) < 8 else None
     n1, n0 = max(1, sum(1 for k, r in enumerate(rows) if k % 4 and r[1])), max(1, sum(1 for k, r in enumerate(rows) if k % 4 and not r[1]))
-    lift = {w: (c / n1) / ((harmless[w] + 0.5) / n0) for w, c in toxic.items() if c >= 4 and len(before[w]) >= 4 and len(after[w]) >= 4 and 3 <= len(w) <= LONGEST}
+    lift = {w: (c / n1) / ((harmless[w] + 0.5) / n0) for w, c in toxic.items() if w in maybe and len(before[w]) >= 4 and len(after[w]) >= 4 and 3 <= len(w) <= LONGEST}
     bad = sorted((w for w, x in lift.items() if x >= 25), key=lambda w: (-toxic[w], w))[:2000]
     table = np.zeros(32**ORDER, np.float32)
     table = np.append(table, np.float32(-1))
@@ -285,13 +288,13 @@ def fold(id_column: str) -> "F.Column":
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float, float]:
+def fit(docs: DataFrame, labels: DataFrame, work: str, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float, float]:
     """Train on labelled rows whose fold is not 1."""
     d = docs.select(*[c.alias(n) for c, n in zip(pick(docs, "doc_id", "text"), ("doc_id", "text"))]).where(F.octet_length("text") <= SAMPLE_BYTES)
     known = labels.select(*[c.alias(n) for c, n in zip(pick(labels, "doc_id", "toxic"), ("doc_id", "toxic"))]).where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id") != 1)
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = d.join(chosen, "doc_id").select("text", "toxic").collect()
-    return train([(r["text"], int(r["toxic"])) for r in rows])
+    rows = stored(d.join(chosen, "doc_id").select("text", "toxic"), f"{work}/sample").coalesce(4)
+    return train((r["text"], int(r["toxic"])) for r in rows.toLocalIterator())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], id_column: str = "doc_id", text_column: str = "text", cut: float = CUT) -> DataFrame:
