@@ -293,8 +293,15 @@ def fit(docs: DataFrame, labels: DataFrame, work: str, sample_docs: int = SAMPLE
     d = docs.select(*[c.alias(n) for c, n in zip(pick(docs, "doc_id", "text"), ("doc_id", "text"))]).where(F.octet_length("text") <= SAMPLE_BYTES)
     known = labels.select(*[c.alias(n) for c, n in zip(pick(labels, "doc_id", "toxic"), ("doc_id", "toxic"))]).where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id") != 1)
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = stored(d.join(chosen, "doc_id").select("text", "toxic"), f"{work}/sample").coalesce(4)
-    return train((r["text"], int(r["toxic"])) for r in rows.toLocalIterator())
+    sample = stored(d.join(chosen, "doc_id").select("text", "toxic"), f"{work}/sample")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, slope, shift = train((t, int(y)) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([slope]), pa.array([shift])], ["table", "slope", "shift"])
+
+    # the sample is bounded, so one task can hold it, and the driver needs no more than the model
+    made = sample.coalesce(1).mapInArrow(run, "table binary, slope double, shift double").first()
+    return np.frombuffer(made["table"], np.float32), made["slope"], made["shift"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], id_column: str = "doc_id", text_column: str = "text", cut: float = CUT) -> DataFrame:
