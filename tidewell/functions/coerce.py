@@ -106,7 +106,7 @@ def time_text(micros: Column) -> Column:
     size = F.abs(micros)
     seconds, rest = F.floor(size / 1_000_000), size % 1_000_000
     whole = F.format_string("%s%02d:%02d:%02d", F.when(micros < 0, F.lit("-")).otherwise(F.lit("")), F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
-    return F.when(rest == 0, whole).otherwise(F.concat(whole, F.format_string(".%06d", rest)))
+    return F.when(rest == 0, whole).when(rest > 0, F.concat(whole, F.format_string(".%06d", rest)))
 
 
 def json_path(path: str) -> str:
