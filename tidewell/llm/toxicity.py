@@ -301,6 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, work: str, sample_docs: int = SAMPLE
 
     # the sample is bounded, so one task can hold it, and the driver needs no more than the model
     made = sample.coalesce(1).mapInArrow(run, "table binary, slope double, shift double").first()
+    if made is None:
+        return train([])
     return np.frombuffer(made["table"], np.float32), made["slope"], made["shift"]
 
 
