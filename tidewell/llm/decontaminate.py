@@ -20,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def _finder(held, item_type: str):
         index = Index(held.value)
         for batch in batches:
             for part in text_slices(batch, most_bytes=4 << 20):
-                words, at = word_hashes(pa.compute.utf8_lower(part.column(1)), True)
+                words, at = word_hashes(pc.utf8_lower(part.column(1)), True)
                 rows = index.find(words, at)
                 if rows:
                     text, item, n, first, last = zip(*rows)
@@ -159,7 +160,7 @@ def _filter(held, text_column: str, at: int):
         index = Index(held.value)
         for batch in batches:
             for part in text_slices(batch, text_column, 4 << 20):
-                words, begins = word_hashes(pa.compute.utf8_lower(part.column(at)), True)
+                words, begins = word_hashes(pc.utf8_lower(part.column(at)), True)
                 keep = np.ones(part.num_rows, bool)
                 keep[[row[0] for row in index.find(words, begins)]] = False
                 yield part.filter(pa.array(keep))

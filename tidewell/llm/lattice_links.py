@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def _coded(reps: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
             listed = [None] * batch.num_rows
             for n in np.unique(size):
                 at = np.flatnonzero(size == n)

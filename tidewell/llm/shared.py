@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 2
     """Cut a batch so that each slice has about most_bytes of text; a longer single text is a slice of its own."""
     index = batch.schema.get_field_index(column)
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(index)).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(index)).to_pylist()):
         if i > start and size + (n or 0) > most_bytes:
             yield batch.slice(start, i - start)
             start, size = i, 0
