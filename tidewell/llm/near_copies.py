@@ -10,15 +10,16 @@ probability J, so sketches of linked texts share most values. The steps:
 3. Inverted lists of the retained values. Texts on one list of at most SHORT texts are candidates with each other. A
    linked text differs from its partner in at most a quarter of its set; so a text with clearly more than a quarter
    of its retained values on short lists meets every partner on one of those, and leaves the long lists.
-4. What stays on long lists are large groups of copies; two of them share most of their long lists, so they do not
-   meet on short ones. Each takes part in the long lists of its JOINED smallest values, and is a candidate with a
-   few pivots of each list, not with all of it.
+4. What stays on long lists are large groups of copies, and texts made of what many share. Among these alone, whole
+   sets are read. With their shingles in the order from rare to common, two linked sets share one of their first
+   quarter, and where they first share one, enough of both must be left for the overlap. This holds always, not by
+   chance. So they meet on lists of those shingles: on short ones with each other, on long ones with a few pivots.
 5. Candidates are estimated on the sketch of the union, and verified on full sets. Where both sketches hold the whole
    sets, that is at once; else the sets are read from the texts. Texts already known to be in one component need no
    further comparison, so the first rounds verify the best open candidate of each text, and later ones what is left.
-6. Texts of long lists that are still in different components are then compared in full, list by list.
+6. Texts of one long list that are still in different components are then compared with each other.
 
-Empty sets are linked with nothing. Rows with equal ids are one node; a null id has its size and no component.
+Empty sets are linked with nothing. Rows with equal ids are one node, linked by one of their texts; a null id has its size and no component.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import connected, pick, stored, text_slices
+from tidewell.llm.shared import connected, pick, restricted, stored, text_slices
 from tidewell.llm.words import shingles, word_hashes
 
 WORDS, PERCENT = 5, 75
-SKETCH, PROBE, SHORT, JOINED, PIVOTS = 128, 16, 24, 16, 2
+SKETCH, PROBE, SHORT, PIVOTS = 128, 16, 12, 2
 #: Share of retained values on short lists above which a text leaves the long lists: a quarter, and four deviations
 #: of a sketch's share if the sketch holds a part of the set only.
 RARE_WHOLE, RARE_PART = 0.25, 0.42
@@ -125,6 +126,30 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _whole_sets(texts: DataFrame) -> DataFrame:
+    """id and values: the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, most_bytes=2 << 20):
+                values = [(s >> np.uint64(1)).astype(np.int64) for s in sets_of(part.column(1))]
+                sizes = np.cumsum([0, *map(len, values)])
+                listed = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), listed], ["id", "values"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, values array<long>")
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs on one list (v, id, n, at) whose sets can still overlap enough if this is the first place they share."""
+    kept = [c for c in ("component",) if c in left.columns]
+    x = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), *[F.col(c).alias("ca") for c in kept])
+    y = right.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), *[F.col(c).alias("cb") for c in kept])
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb"))
+    apart = F.col("ca") != F.col("cb") if kept else F.col("a") < F.col("b")
+    return x.join(y, (x["v"] == y["v"]) & apart & enough)
+
+
 def _extended(components: DataFrame, edges: DataFrame, work: str) -> DataFrame:
     """components (node, component), joined further by edges (a, b) between components."""
     more = connected(edges, work)
@@ -134,7 +159,10 @@ def _extended(components: DataFrame, edges: DataFrame, work: str) -> DataFrame:
 
 def _settle(candidates: DataFrame, components: DataFrame, texts: DataFrame, work: str) -> DataFrame:
     """Join components by candidates (a, b, e, sure) that are linked; candidates inside one component are not looked at."""
-    components = _extended(components, _between(candidates.where("sure"), components).select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"{work}/sure")
+    sure = candidates.where("sure")
+    if not components.isEmpty():
+        sure = _between(sure, components).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    components = _extended(components, sure.select("a", "b"), f"{work}/sure")
     candidates = candidates.where("not sure")
     for k in range(4):
         open_ = _between(candidates, components)
@@ -171,14 +199,19 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     spark = docs.sparkSession
     sk = stored(sketch(docs, id_column, text_column), f"{work}/sketches")
     classes = stored(sk.where("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")), f"{work}/classes")
-    reps = stored(sk.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"]).groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("values").alias("values")), f"{work}/reps")
+    sized = sk.where("n_shingles > 0 and id is not null")
+    others = stored(sized.select("id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).where("id <> rep").select("id").distinct(), f"{work}/others")
+    reps = restricted(sized, others, "left_anti").select("id", F.col("n_shingles").alias("n"), "values")
+    if not sized.groupBy("id").count().where("count > 1").isEmpty():
+        reps = reps.groupBy("id").agg(F.max(F.struct("n", "values")).alias("r")).select("id", "r.n", "r.values")
 
     # 2. screen
-    probe = reps.select("id", F.explode(F.slice("values", 1, PROBE)).alias("v"))
+    probe = reps.select("id", "n", F.explode(F.slice("values", 1, PROBE)).alias("v"))
     shared = probe.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    size = F.least(F.size("values"), F.lit(PROBE))
-    hits = probe.join(shared, "v").groupBy("id").agg(F.count("*").alias("hits"))
-    going = stored(reps.join(hits, "id").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(size * 0.25))).select("id", "n", "values"), f"{work}/going")
+    hits = probe.join(shared, "v").groupBy("id", "n").agg(F.count("*").alias("hits"))
+    enough = F.greatest(F.lit(1), F.floor(F.least("n", F.lit(PROBE)) * 0.25))
+    suspects = stored(hits.where(F.col("hits") >= enough).select("id"), f"{work}/suspects")
+    going = stored(restricted(reps, suspects), f"{work}/going")
 
     # 3. inverted lists
     post = going.select("id", F.explode("values").alias("v"))
@@ -193,30 +226,36 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     left, right = short.select("v", F.col("id").alias("a"), F.col("hot").alias("ha")), short.where("not hot").select("v", F.col("id").alias("b"))
     pairs = left.join(right, "v").where("a < b or (ha and a <> b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    # 4. long lists of those that stay on them
-    ranked = lists.where(F.col("c") > SHORT).join(hot, "id").groupBy("id").agg(F.slice(F.array_sort(F.collect_list("v")), 1, JOINED).alias("vs"))
-    member = stored(ranked.select("id", F.explode("vs").alias("v")), f"{work}/members")
+    # 4. whole sets of those that stay on long lists, from rare to common shingles
+    texts = docs.select(*[c.alias(x) for c, x in zip(pick(docs, id_column, text_column), ("id", "text"))]).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    shingled = _whole_sets(restricted(texts, hot).dropDuplicates(["id"])).select("id", F.size("values").alias("n"), F.explode("values").alias("v"))
+    shingled = stored(shingled, f"{work}/shingles")
+    common = shingled.groupBy("v").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "v")) - 1
+    first = shingled.join(common, "v").withColumn("at", place).where("f > 1 and at <= floor(n / 4)").select("v", "id", "n", "at")
+    first = stored(first, f"{work}/first-quarter")
+    counted = first.join(first.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v")
+    few = counted.where(F.col("c") <= SHORT)
+    met = _meeting(few, few).select("a", "b")
+    member = stored(counted.where(F.col("c") > SHORT).select("v", "id", "n", "at"), f"{work}/members")
     pivots = member.groupBy("v").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias(f"p{k}") for k in range(PIVOTS)])
     pivots = pivots.select("v", F.array_distinct(F.array(*[F.col(f"p{k}.id") for k in range(PIVOTS)])).alias("ps"))
     star = member.join(pivots, "v").select("id", F.explode("ps").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
     # 5. estimate and verify
-    sketches = reps.select("id", "values", "n")
-    candidates = stored(_estimated(pairs.union(star).distinct(), sketches), f"{work}/candidates")
-    texts = docs.select(*[c.alias(x) for c, x in zip(pick(docs, id_column, text_column), ("id", "text"))]).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    sketches = going.select("id", "values", "n")
+    candidates = stored(_estimated(pairs.union(met).union(star).distinct(), sketches), f"{work}/candidates")
     unsure = candidates.where("not sure")
-    wanted = unsure.select(F.col("a").alias("id")).union(unsure.select("b")).union(hot).distinct()
-    texts = stored(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), f"{work}/texts")
+    wanted = stored(unsure.select(F.col("a").alias("id")).union(unsure.select("b")).union(hot).distinct(), f"{work}/wanted")
+    texts = stored(restricted(texts, wanted).dropDuplicates(["id"]), f"{work}/texts")
     joined = _settle(candidates, spark.createDataFrame([], "node long, component long"), texts, f"{work}/first")
 
     # 6. what long lists leave in different components
-    at = stored(member.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", F.coalesce("component", "id").alias("component")), f"{work}/placed")
+    at = stored(member.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", "n", "at", F.coalesce("component", "id").alias("component")), f"{work}/placed")
     per = at.groupBy("v", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("v").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("v", "main")
     apart = at.join(main, "v")
-    rest = apart.where("component <> main").select("v", "id", "component")
-    others = apart.select("v", F.col("id").alias("o"), F.col("component").alias("oc"))
-    cross = rest.join(others, "v").where("component <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    cross = _meeting(apart.where("component <> main"), apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = stored(_estimated(cross, sketches), f"{work}/left")
     if not left.isEmpty():
         joined = _settle(left, joined, texts, f"{work}/last")
@@ -230,5 +269,6 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
 
 def dedup(docs: DataFrame, work: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs of which each group keeps one: the smallest id. Rows with a null id all stay."""
-    gone = near_copies(docs, work, id_column, text_column).where("not kept").select(F.col(id_column).alias("gone_id")).distinct()
-    return docs.join(gone, docs[f"`{id_column}`"] == gone["gone_id"], "left_anti")
+    gone = near_copies(docs, work, id_column, text_column).where("not kept").select(F.col(id_column).cast(dict(docs.dtypes)[id_column]).alias(id_column)).distinct()
+    gone = stored(gone, f"{work}/gone")
+    return restricted(docs, gone, "left_anti").select(*[f"`{c}`" for c in docs.columns])

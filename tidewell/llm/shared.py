@@ -101,6 +101,15 @@ def pick(df: DataFrame, *columns: str) -> list[Column]:
     return [df[f"`{c}`"] for c in columns]
 
 
+#: A key table up to this many rows is sent to all executors; a larger one is joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def restricted(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """df with only, or without (left_anti), the rows whose id is in ids: a stored table of one column."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, ids.columns[0], how)
+
+
 def connected(edges: DataFrame, work: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph. edges: (a long, b long). Returns (node, component): the smallest node reachable.
 
