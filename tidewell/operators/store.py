@@ -160,17 +160,16 @@ class Table:
         if not parts:
             empty = self.spark.createDataFrame([], base.struct)
             return empty.withColumn("_sequence_", F.lit(0)) if sequence else empty
-        by: dict[int, list[str]] = {}
-        for p in parts:
-            by.setdefault(p.sequence if sequence else 0, []).append(p.path)
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in base.struct.fields])
-        out: DataFrame | None = None
-        for number, paths in sorted(by.items()):
-            # each part is read as a root of its own: the folder names of its days are no columns
-            df = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
-            df = df.withColumn("_sequence_", F.lit(number)) if sequence else df
-            out = df if out is None else out.unionByName(df)
-        return out
+        # one scan of all parts; each is a root of its own, so the folder names of its days are no columns
+        df = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[p.path for p in parts])
+        if not sequence:
+            return df
+        by = {p.path.split("/data/", 1)[1][:32]: p.sequence for p in parts}
+        if len(set(by.values())) == 1:
+            return df.withColumn("_sequence_", F.lit(next(iter(by.values()))))
+        known = F.create_map(*[F.lit(x) for pair in by.items() for x in pair])
+        return df.withColumn("_sequence_", F.element_at(known, F.regexp_extract("_metadata.file_path", "/data/([0-9a-f]{32})/", 1)))
 
     def read(self, final: bool = False) -> DataFrame:
         """The table's rows; final: of each sorting key the last version only."""

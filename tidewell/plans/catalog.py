@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.config import Transfer
+from tidewell.folders import work_dir as folder
 from tidewell.functions import coerce as C
 from tidewell.operators import archive, quality
 from tidewell.operators.merge import deduplicate, last_version, merge, upsert
@@ -43,14 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{named.rstrip('/')}/tidewell-{name}-{uuid.uuid4().hex}"
-
-
 def projected(df: DataFrame, **settings) -> DataFrame:
     return df.select(*plan(df.schema, Transfer(dest_table="t", source_table="t", **settings)).columns)
 

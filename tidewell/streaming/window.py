@@ -36,6 +36,11 @@ def null_watermarks(df: DataFrame, watermark: Column) -> DataFrame:
     return df.agg(F.count_if(watermark.isNull()).alias("n"))
 
 
+def survey(df: DataFrame, watermark: Column) -> DataFrame:
+    """snapshot_max and null_watermarks in one pass: upper and n."""
+    return df.agg(F.max(watermark).cast("string").alias("upper"), F.count_if(watermark.isNull()).alias("n"))
+
+
 def conjunction(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
 

@@ -24,7 +24,7 @@ from tidewell.sources import frames, http
 from tidewell.sources.descriptors import Lake
 from tidewell.streaming.chunks import chunk_key, pages
 from tidewell.streaming.state import StateTable
-from tidewell.streaming.window import api_days, conjunction, first_lower, null_watermarks, snapshot_max, type_of, watermark_column, window
+from tidewell.streaming.window import api_days, conjunction, first_lower, survey, type_of, watermark_column, window
 
 log = logging.getLogger("tidewell")
 
@@ -160,10 +160,11 @@ def _database(run: Run) -> TransferResult:
         window(wm, kind, None, None, t.lookback_seconds)
         if t.lookback_seconds and not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             raise ConfigError("lookback_seconds needs a watermark that is a date or a timestamp")
-        if n := null_watermarks(df, wm).first()["n"]:
-            log.warning("%s: %d rows have no %s and are never read", t.dest_table, n, t.watermark)
+        seen = survey(df, wm).first()
+        upper = seen["upper"]
+        if seen["n"]:
+            log.warning("%s: %d rows have no %s and are never read", t.dest_table, seen["n"], t.watermark)
         state = run.state.read(run.state_key, t.dest_table)
-        upper = snapshot_max(df, wm).first()["upper"]
         if t.chunk_rows and state and state["chunk_upper"] is not None:
             resume, upper = state["chunk_cursor"], state["chunk_upper"]
         committed = state["last_watermark"] if state else None
