@@ -75,7 +75,7 @@ class TrieBPE:
         # a token that its own merges cannot build is never made
         self.token = {b: i for b, i in raw.items() if len(b) == 1 or i in self.parts}
         self.longest = max(map(len, self.token))
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
         self._words = regex.compile(WORDS)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -91,10 +91,10 @@ class TrieBPE:
 
     def follows(self, before: int, after: int) -> bool:
         """Whether encoding the bytes of both tokens gives both tokens."""
-        key = (before, after)
+        key = before << 32 | after
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) > 2_000_000:  # bounded memory: start again
+            if len(self._follows) > 400_000:  # bounded memory: start again
                 self._follows.clear()
             single = [self.token[bytes([c])] for c in self.bytes_of[before] + self.bytes_of[after]]
             known = self._follows[key] = self.merged(single) == [before, after]
@@ -127,7 +127,7 @@ class TrieBPE:
                             break
                         continue
                     before = last[start]
-                    fits = known.get((before, t))
+                    fits = known.get(before << 32 | t)
                     if fits is None:
                         fits = follows(before, t)
                     if fits:
@@ -235,14 +235,14 @@ def encode_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", tex
 
     Returns the id, n_tokens, ids_sha256 (hex of the decimal ids joined by commas) and decoded_sha256 (hex of the
     decoded text in UTF-8); with_ids adds the ids themselves. One pass over the rows, no shuffle; memory is
-    bounded by slices of 24 MB of text, or one text that is longer. Null texts count as empty; other columns are ignored.
+    bounded by slices of 12 MB of text, or one text that is longer. Null texts count as empty; other columns are ignored.
     """
     schema = f"id {dict(df.dtypes)[id_column]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most_bytes=12 << 20):
                 ids, at = bpe.encode_slice(part.column(1))
                 hashed, decoded = [], []
                 ends = at.tolist()

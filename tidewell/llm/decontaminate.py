@@ -136,7 +136,7 @@ def _finder(held, item_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(held.value)
         for batch in batches:
-            for part in text_slices(batch, most_bytes=4 << 20):
+            for part in text_slices(batch, most_bytes=2 << 20):
                 words, at = word_hashes(pc.utf8_lower(part.column(1)), True)
                 rows = index.find(words, at)
                 if rows:
@@ -159,7 +159,7 @@ def _filter(held, text_column: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(held.value)
         for batch in batches:
-            for part in text_slices(batch, text_column, 4 << 20):
+            for part in text_slices(batch, text_column, 2 << 20):
                 words, begins = word_hashes(pc.utf8_lower(part.column(at)), True)
                 keep = np.ones(part.num_rows, bool)
                 keep[[row[0] for row in index.find(words, begins)]] = False

@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.shared import pick, stored, text_slices
@@ -88,11 +88,16 @@ def fit(labelled: DataFrame, text_column: str = "text", language_column: str = "
     """Fit on a bounded sample of labelled texts: of each of the LANGUAGES most frequent languages, sample texts by hash."""
     rows = labelled.select(*[c.alias(x) for c, x in zip(pick(labelled, text_column, language_column), ("text", "lang"))]).where(f"lang is not null and text is not null and octet_length(text) between 20 and {SAMPLE_BYTES}")
     top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    parts = [rows.where(F.col("lang") == l).select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample) for l in top]
     samples: dict[str, list[str]] = {l: [] for l in top}
-    if parts:
-        for r in reduce(DataFrame.unionByName, parts).collect():
+    if top:
+        # the hash up to which each language is taken, found without moving texts
+        hashed = rows.where(F.col("lang").isin(top)).withColumn("h", F.xxhash64("text"))
+        ranked = hashed.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
+        last = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+        wanted = reduce(lambda x, y: x | y, [(F.col("lang") == l) & (F.col("h") <= h) for l, h in sorted(last.items())])
+        for r in hashed.where(wanted).select("lang", "text").distinct().collect():
             samples[r["lang"]].append(r["text"])
+        samples = {l: sorted(texts) for l, texts in samples.items()}
     return Model(samples)
 
 
@@ -111,7 +116,7 @@ def identify(df: DataFrame, model: Model, work: str, id_column: str, text: Colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, most_bytes=4 << 20):
+            for part in text_slices(batch, most_bytes=2 << 20):
                 e = held.value.evidence(part.column(1))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1) * len(languages), pa.int32()), pa.array(e.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), listed], ["id", "declared", "host", "e"])

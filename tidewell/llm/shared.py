@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,32 +13,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_KEY = "tidewell.own.shared.dir"
+from tidewell.folders import work_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only a session on one machine (master local) that names none gets a temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = spark.conf.get(_OWN_KEY, None)
-    if own is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        already = spark.sparkContext.getCheckpointDir()
-        own = already if already else "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        if not already:
-            spark.sparkContext.setCheckpointDir(own)
-        spark.conf.set(_OWN_KEY, own)
-    return own.rstrip("/")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name for one run of an operator, in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["connected", "new_file", "open_file", "pick", "remove", "restricted", "stored", "text_slices", "trim", "work_dir"]
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -83,6 +59,13 @@ def open_file(uri: str) -> pa.NativeFile:
     return fs.open_input_file(path)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker that is used again does not keep its peak."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice has about most_bytes of text; a longer single text is a slice of its own."""
     index = batch.schema.get_field_index(column)
@@ -90,10 +73,12 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 2
     for i, n in enumerate(pc.binary_length(batch.column(index)).to_pylist()):
         if i > start and size + (n or 0) > most_bytes:
             yield batch.slice(start, i - start)
+            trim()
             start, size = i, 0
         size += n or 0
     if batch.num_rows > start:
         yield batch.slice(start)
+    trim()
 
 
 def pick(df: DataFrame, *columns: str) -> list[Column]:

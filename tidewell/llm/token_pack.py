@@ -31,7 +31,7 @@ from tidewell.llm.shared import new_file, open_file, pick, stored, text_slices
 
 MAGIC = b"TWPACK01"
 BLOCK_IDS = 1 << 16
-MOST_KNOWN = 1_500_000
+MOST_KNOWN = 1_000_000
 
 
 def width(vocabulary: int) -> int:

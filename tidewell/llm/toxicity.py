@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], id_column: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, slope, shift = held.value
         for batch in batches:
-            for part in text_slices(batch, most_bytes=16 << 20):
+            for part in text_slices(batch, most_bytes=8 << 20):
                 z = np.clip(slice_margins(part.column(1), table), -2, 2).astype(np.float64)
                 p = 1 / (1 + np.exp(-(slope * z + shift)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["id", "score", "predicted"])
@@ -330,7 +330,7 @@ def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float, float], text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, slope, shift = held.value
         for batch in batches:
-            for part in text_slices(batch, text_column, 16 << 20):
+            for part in text_slices(batch, text_column, 8 << 20):
                 z = np.clip(slice_margins(part.column(at), table), -2, 2).astype(np.float64)
                 yield part.filter(pa.array(1 / (1 + np.exp(-(slope * z + shift))) < cut))
 
