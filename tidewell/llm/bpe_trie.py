@@ -94,7 +94,7 @@ class TrieBPE:
         key = before << 32 | after
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) > 400_000:  # bounded memory: start again
+            if len(self._follows) > 600_000:  # bounded memory: start again
                 self._follows.clear()
             single = [self.token[bytes([c])] for c in self.bytes_of[before] + self.bytes_of[after]]
             known = self._follows[key] = self.merged(single) == [before, after]
