@@ -12,8 +12,9 @@ probability J, so sketches of linked texts share most values. The steps:
    of its retained values on short lists meets every partner on one of those, and leaves the long lists.
 4. What stays on long lists are large groups of copies, and texts made of what many share. Among these alone, whole
    sets are read. With their shingles in the order from rare to common, two linked sets share one of their first
-   quarter, and where they first share one, enough of both must be left for the overlap. This holds always, not by
-   chance. So they meet on lists of those shingles: on short ones with each other, on long ones with a few pivots.
+   quarter, and where they first share one, enough of both must be left for the overlap. Nor can their parities, a bit
+   for each class of shingles that says whether the set has an odd number of them, differ in more places than the sets
+   in shingles. Both hold always, not by chance. So they meet on lists of those shingles: on short ones with each other, on long ones with a few pivots.
 5. Candidates are estimated on the sketch of the union, and verified on full sets. Where both sketches hold the whole
    sets, that is at once; else the sets are read from the texts. Texts already known to be in one component need no
    further comparison, so the first rounds verify the best open candidate of each text, and later ones what is left.
@@ -25,6 +26,7 @@ Empty sets are linked with nothing. Rows with equal ids are one node, linked by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ SKETCH, PROBE, SHORT, PIVOTS = 128, 16, 12, 2
 #: of a sketch's share if the sketch holds a part of the set only.
 RARE_WHOLE, RARE_PART = 0.25, 0.42
 #: Candidates whose estimate is four deviations below the limit are dropped; small sets are estimated exactly.
+PARITY_LONGS = 16
 LEAST_ESTIMATE, LIKELY_ESTIMATE = 0.60, 0.70
 
 
@@ -127,7 +130,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
-    """id and values: the whole set."""
+    """id, values (the whole set) and parity (PARITY_LONGS times 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,19 +138,25 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
                 values = [(s >> np.uint64(1)).astype(np.int64) for s in sets_of(part.column(1))]
                 sizes = np.cumsum([0, *map(len, values)])
                 listed = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), listed], ["id", "values"])
+                bits = 64 * PARITY_LONGS
+                parity = [np.packbits((np.bincount(v % bits, minlength=bits) & 1).astype(np.uint8)).view(np.int64) for v in values]
+                odd = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * PARITY_LONGS, pa.int32()), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), listed, odd], ["id", "values", "parity"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, values array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, values array<long>, parity array<long>")
 
 
 def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs on one list (v, id, n, at) whose sets can still overlap enough if this is the first place they share."""
+    """Pairs on one list (v, id, n, at, parity) whose sets can still overlap enough if this is the first place they share."""
     kept = [c for c in ("component",) if c in left.columns]
-    x = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), *[F.col(c).alias("ca") for c in kept])
-    y = right.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), *[F.col(c).alias("cb") for c in kept])
-    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb"))
+    x = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("parity").alias("xa"), *[F.col(c).alias("ca") for c in kept])
+    y = right.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("parity").alias("xb"), *[F.col(c).alias("cb") for c in kept])
+    size = F.col("na") + F.col("nb")
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + PERCENT) >= PERCENT * size
+    differ = reduce(lambda s, k: s + F.bit_count(F.col("xa")[k].bitwiseXOR(F.col("xb")[k])), range(PARITY_LONGS), F.lit(0))
+    alike = differ * (100 + PERCENT) <= (100 - PERCENT) * size
     apart = F.col("ca") != F.col("cb") if kept else F.col("a") < F.col("b")
-    return x.join(y, (x["v"] == y["v"]) & apart & enough)
+    return x.join(y, (x["v"] == y["v"]) & apart & enough & alike)
 
 
 def _extended(components: DataFrame, edges: DataFrame, work: str) -> DataFrame:
@@ -228,16 +237,16 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
 
     # 4. whole sets of those that stay on long lists, from rare to common shingles
     texts = docs.select(*[c.alias(x) for c, x in zip(pick(docs, id_column, text_column), ("id", "text"))]).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    shingled = _whole_sets(restricted(texts, hot).dropDuplicates(["id"])).select("id", F.size("values").alias("n"), F.explode("values").alias("v"))
-    shingled = stored(shingled, f"{work}/shingles")
+    whole_sets = stored(_whole_sets(restricted(texts, hot).dropDuplicates(["id"])), f"{work}/whole-sets")
+    shingled = whole_sets.select("id", F.size("values").alias("n"), F.explode("values").alias("v"))
     common = shingled.groupBy("v").agg(F.count("*").alias("f"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("f", "v")) - 1
     first = shingled.join(common, "v").withColumn("at", place).where("f > 1 and at <= floor(n / 4)").select("v", "id", "n", "at")
     first = stored(first, f"{work}/first-quarter")
-    counted = first.join(first.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v")
+    counted = first.join(first.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v").join(whole_sets.select("id", "parity"), "id")
     few = counted.where(F.col("c") <= SHORT)
     met = _meeting(few, few).select("a", "b")
-    member = stored(counted.where(F.col("c") > SHORT).select("v", "id", "n", "at"), f"{work}/members")
+    member = stored(counted.where(F.col("c") > SHORT).select("v", "id", "n", "at", "parity"), f"{work}/members")
     pivots = member.groupBy("v").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias(f"p{k}") for k in range(PIVOTS)])
     pivots = pivots.select("v", F.array_distinct(F.array(*[F.col(f"p{k}.id") for k in range(PIVOTS)])).alias("ps"))
     star = member.join(pivots, "v").select("id", F.explode("ps").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
@@ -251,7 +260,7 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     joined = _settle(candidates, spark.createDataFrame([], "node long, component long"), texts, f"{work}/first")
 
     # 6. what long lists leave in different components
-    at = stored(member.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", "n", "at", F.coalesce("component", "id").alias("component")), f"{work}/placed")
+    at = stored(member.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", "n", "at", "parity", F.coalesce("component", "id").alias("component")), f"{work}/placed")
     per = at.groupBy("v", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("v").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("v", "main")
     apart = at.join(main, "v")
