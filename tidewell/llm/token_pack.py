@@ -31,7 +31,7 @@ from tidewell.llm.shared import new_file, open_file, pick, stored, text_slices
 
 MAGIC = b"TWPACK01"
 BLOCK_IDS = 1 << 16
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 800_000
 
 
 def width(vocabulary: int) -> int:
@@ -288,7 +288,7 @@ def write_packed(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_co
         with new_file(path) as out:
             writer = PackWriter(out, t.get_vocab_size())
             while batch is not None:
-                for part in text_slices(batch):
+                for part in text_slices(batch, most_bytes=16 << 20):
                     ids, lengths = with_end(*encode_slice(part.column(1), vocabulary), end_id)
                     own = part.column(0)
                     writer.add(pc.fill_null(own, 0).to_numpy(zero_copy_only=False), pc.is_valid(own).to_numpy(zero_copy_only=False), ids, lengths)

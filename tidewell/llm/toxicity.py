@@ -18,6 +18,8 @@ into the score. Empty and null texts have no words and the lowest margin. Labels
 from __future__ import annotations
 
 import hashlib
+import multiprocessing
+import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -259,6 +261,30 @@ def train(rows: Iterable[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
     return table, float(max(theta[0], 0.1)), float(theta[1])
 
 
+def apart(f, *arguments):
+    """Call f in a process of its own, so that what it needs is gone afterwards; workers are used again."""
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(False)
+
+    def call() -> None:
+        try:
+            there.send((True, f(*arguments)))
+        except BaseException as error:  # noqa: BLE001  told to the caller
+            there.send((False, repr(error)))
+        os._exit(0)
+
+    child = context.Process(target=call)
+    child.start()
+    there.close()
+    try:
+        good, result = here.recv()
+    finally:
+        child.join()
+    if not good:
+        raise RuntimeError(f"training failed: {result}")
+    return result
+
+
 def slice_margins(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     """The margin of each text: the largest of its words'."""
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -296,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: str, sample_docs: int = SAMPLE
     sample = stored(d.join(chosen, "doc_id").select("text", "toxic"), f"{work}/sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, slope, shift = train((t, int(y)) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        table, slope, shift = apart(train, [(t, int(y)) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([slope]), pa.array([shift])], ["table", "slope", "shift"])
 
     # the sample is bounded, so one task can hold it, and the driver needs no more than the model
