@@ -17,7 +17,7 @@ probability J, so sketches of linked texts share most values. The steps:
    in shingles. Both hold always, not by chance. So they meet on lists of those shingles: on short ones with each other, on long ones with a few pivots.
 5. Candidates are estimated on the sketch of the union, and verified on full sets. Where both sketches hold the whole
    sets, that is at once; else the sets are read from the texts. Texts already known to be in one component need no
-   further comparison, so the first rounds verify the best open candidate of each text, and later ones what is left.
+   further comparison, so the first round verifies the best open candidate of each text, and later ones what is left.
 6. Texts of one long list that are still in different components are then compared with each other.
 
 Empty sets are linked with nothing. Rows with equal ids are one node, linked by one of their texts; a null id has its size and no component.
@@ -30,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.shared import connected, pick, restricted, stored, text_slices
@@ -146,6 +146,12 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, values array<long>, parity array<long>")
 
 
+def _alike(one: str, other: str, size: Column) -> Column:
+    """Whether two parities differ in no more places than two linked sets of that size together may in shingles."""
+    differ = reduce(lambda s, k: s + F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])), range(PARITY_LONGS), F.lit(0))
+    return differ * (100 + PERCENT) <= (100 - PERCENT) * size
+
+
 def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs on one list (v, id, n, at, parity) whose sets can still overlap enough if this is the first place they share."""
     kept = [c for c in ("component",) if c in left.columns]
@@ -153,10 +159,8 @@ def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     y = right.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("parity").alias("xb"), *[F.col(c).alias("cb") for c in kept])
     size = F.col("na") + F.col("nb")
     enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + PERCENT) >= PERCENT * size
-    differ = reduce(lambda s, k: s + F.bit_count(F.col("xa")[k].bitwiseXOR(F.col("xb")[k])), range(PARITY_LONGS), F.lit(0))
-    alike = differ * (100 + PERCENT) <= (100 - PERCENT) * size
     apart = F.col("ca") != F.col("cb") if kept else F.col("a") < F.col("b")
-    return x.join(y, (x["v"] == y["v"]) & apart & enough & alike)
+    return x.join(y, (x["v"] == y["v"]) & apart & enough & _alike("xa", "xb", size))
 
 
 def _extended(components: DataFrame, edges: DataFrame, work: str) -> DataFrame:
@@ -173,24 +177,24 @@ def _settle(candidates: DataFrame, components: DataFrame, texts: DataFrame, work
         sure = _between(sure, components).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     components = _extended(components, sure.select("a", "b"), f"{work}/sure")
     candidates = candidates.where("not sure")
-    for k in range(4):
+    for k in range(3):
         open_ = _between(candidates, components)
-        if k < 2:
+        if k < 1:
             # the best candidate of each text; the rest waits
             best = open_.groupBy("b").agg(F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("e", "a")).alias("p")).select("p.*")
             side = open_.groupBy("a").agg(F.max_by(F.struct("a", "b", "ca", "cb"), F.struct("e", "b")).alias("p")).select("p.*")
             now = best.union(side).distinct()
         else:
-            now = open_.where(F.col("e") >= (LIKELY_ESTIMATE if k == 2 else 0.0)).select("a", "b", "ca", "cb")
+            now = open_.where(F.col("e") >= (LIKELY_ESTIMATE if k == 1 else 0.0)).select("a", "b", "ca", "cb")
         now = stored(now, f"{work}/now{k}")
         if now.isEmpty():
-            if k < 2:
+            if k < 1:
                 break
             continue
         good = _verified(now, texts).join(now, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         components = _extended(components, good, f"{work}/round{k}")
         # what was compared is done, linked or not
-        if k < 3:
+        if k < 2:
             candidates = stored(open_.select("a", "b", "e").join(now, ["a", "b"], "left_anti"), f"{work}/open{k}")
     return components
 
@@ -247,9 +251,10 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     few = counted.where(F.col("c") <= SHORT)
     met = _meeting(few, few).select("a", "b")
     member = stored(counted.where(F.col("c") > SHORT).select("v", "id", "n", "at", "parity"), f"{work}/members")
-    pivots = member.groupBy("v").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias(f"p{k}") for k in range(PIVOTS)])
-    pivots = pivots.select("v", F.array_distinct(F.array(*[F.col(f"p{k}.id") for k in range(PIVOTS)])).alias("ps"))
-    star = member.join(pivots, "v").select("id", F.explode("ps").alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "parity")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = member.groupBy("v").agg(*chosen).select("v", F.array_distinct(F.array(*[F.struct(f"p{k}.id", f"p{k}.n", f"p{k}.parity") for k in range(PIVOTS)])).alias("ps"))
+    to_pivot = member.join(pivots, "v").select("id", "n", "parity", F.explode("ps").alias("p")).where((F.col("id") != F.col("p.id")) & _alike("parity", "p.parity", F.col("n") + F.col("p.n")))
+    star = to_pivot.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
     # 5. estimate and verify
     sketches = going.select("id", "values", "n")
