@@ -235,14 +235,14 @@ def encode_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", tex
 
     Returns the id, n_tokens, ids_sha256 (hex of the decimal ids joined by commas) and decoded_sha256 (hex of the
     decoded text in UTF-8); with_ids adds the ids themselves. One pass over the rows, no shuffle; memory is
-    bounded by slices of 6 MB of text, or one text that is longer. Null texts count as empty; other columns are ignored.
+    bounded by slices of 10 MB of text, or one text that is longer. Null texts count as empty; other columns are ignored.
     """
     schema = f"id {dict(df.dtypes)[id_column]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary)
         for batch in batches:
-            for part in text_slices(batch, most_bytes=6 << 20):
+            for part in text_slices(batch, most_bytes=10 << 20):
                 ids, at = bpe.encode_slice(part.column(1))
                 hashed, decoded = [], []
                 ends = at.tolist()
