@@ -181,6 +181,12 @@ def test_components(spark):
     assert got == components({k: links[k] for k in sorted(links)})
 
 
+def test_components_of_chains_in_order(spark):
+    chain = spark.range(1, 1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = connected(chain.union(chain.select(5000 - F.col("a"), 5000 - F.col("b"))), work_dir(spark, "tc"))
+    assert {tuple(r) for r in got.collect()} == {(i, 1) for i in range(1, 1001)} | {(i, 4000) for i in range(4000, 5000)}
+
+
 # op3
 
 

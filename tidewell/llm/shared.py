@@ -95,33 +95,38 @@ def restricted(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFra
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, ids.columns[0], how)
 
 
-def connected(edges: DataFrame, work: str, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, work: str) -> DataFrame:
     """Connected components of an undirected graph. edges: (a long, b long). Returns (node, component): the smallest node reachable.
 
-    Each round every node points at its smallest neighbour, pointers are followed once more, and edges are renamed to
-    where their ends point; edges inside a component vanish. The edges at least halve about every round, so a few
-    rounds do. Nodes without edges are not in the result. Each round is written to the folder work.
+    Each round every node points at whichever of itself and its neighbours has the smallest hash, pointers are followed once
+    more, and edges are renamed to where their ends point; edges inside a component vanish. The hash is another one each
+    round, so whatever the ids, a constant share of the nodes that still have edges is expected to go in each, and rounds
+    grow with the logarithm of the nodes; they go on until no edge is left. Nodes without edges are not in the result.
+    Each round is written to the folder work.
     """
     spark = edges.sparkSession
     e = stored(edges.where("a <> b and a is not null and b is not null").select("a", "b").distinct(), f"{work}/e0")
     maps: list[DataFrame] = []
-    for k in range(most_rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
+        k = len(maps)
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        at = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+        least = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("m"))
+        at = least.select(F.col("a").alias("node"), F.when(F.xxhash64("m", F.lit(k)) < F.xxhash64("a", F.lit(k)), F.col("m")).otherwise(F.col("a")).alias("to"))
         hop = at.select(F.col("node").alias("to"), F.col("to").alias("then"))
         p = stored(at.join(hop, "to").select("node", F.col("then").alias("to")), f"{work}/p{k}")
         maps.append(p)
         left = p.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = p.select(F.col("node").alias("b"), F.col("to").alias("y"))
         e = stored(e.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{work}/e{k + 1}")
-    else:
-        raise RuntimeError("components did not settle")
+        remove(spark, f"{work}/e{k}")
     if not maps:
         return spark.createDataFrame([], "node long, component long")
-    out = maps[0].select("node", F.col("to").alias("component"))
-    for p in maps[1:]:
-        nxt = p.select(F.col("node").alias("component"), "to")
-        out = out.join(nxt, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return stored(out, f"{work}/components")
+    # from the last round, which has the fewest nodes, back to the first; plans stay short
+    out = maps[-1].select("node", F.col("to").alias("root"))
+    for k in reversed(range(len(maps) - 1)):
+        nxt = out.select(F.col("node").alias("to"), "root")
+        out = maps[k].join(nxt, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+        if k and k % 4 == 0:
+            out = stored(out, f"{work}/r{k}")
+    named = out.groupBy("root").agg(F.min("node").alias("component"))
+    return stored(out.join(named, "root").select("node", "component"), f"{work}/components")
