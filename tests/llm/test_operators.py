@@ -270,6 +270,20 @@ def test_markov_probabilities_sum_to_one():
         assert total == pytest.approx(1.0)
 
 
+def test_url_models_count_all_urls(spark):
+    # more of a kind than the 3,000 that a sample once took, and one of over 2,000 characters
+    urls = [f"http://{'bets' if i % 2 else 'news'}{i}.org/{i * 7919 % 10007}" for i in range(8000)] + ["http://long.org/" + "ab" * 2000, "http://long.org/" + "ac" * 2000]
+    df = spark.createDataFrame([(u,) for u in urls + urls[:50] + [None, ""]], "url string")
+    model = url_ratio.train(df)
+    held = {r["url"] for r in df.where(F.pmod(F.xxhash64(F.regexp_replace("url", "^http://", "")), F.lit(4)) == 0).collect()}
+    for markov, bad, seeds in ((model.accepted, False, url_ratio.SEEDS[0]), (model.rejected, True, url_ratio.SEEDS[1])):
+        own = [u.removeprefix("http://") for u in urls if ("bets" in u) == bad and u not in held]
+        plain = url_ratio.Markov(own + seeds)
+        assert len(own) > (2900 if bad else 2901) and markov.after == plain.after and markov.total == plain.total
+    few = url_ratio.train(df, most=2000)
+    assert all(0 < sum(map(len, m.after.values())) <= 2000 + sum(map(len, url_ratio.Markov(s).after.values())) for m, s in zip((few.accepted, few.rejected), url_ratio.SEEDS))
+
+
 # op6
 
 
