@@ -369,6 +369,22 @@ def test_pages_are_read_as_text(spark):
     assert row[0]["t"].split() == ["le", "la", "les"] and row[0]["d"] == "fr" and row[1]["d"] is None
 
 
+def test_every_language_has_a_model(spark):
+    # 60 languages of words of their own; one has only a long text, one only short ones
+    r = random.Random(8)
+    words = {k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)] for k in range(60)}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    rows = [(k, text(k, 40), f"l{k:02}") for k in range(58) for _ in range(4 if k < 50 else 2)]
+    rows += [(58, text(58, 6000), "l58")] + [(59, w, "l59") for w in words[59]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.languages == [f"l{k:02}" for k in range(60)]
+    new = spark.createDataFrame([(k, text(k, 30), f"l{k:02}", "h.example") for k in range(60)], "doc_id long, text string, lang string, host string")
+    for declared, host in ((F.lit(None), F.lit(None)), (F.col("lang"), F.col("host"))):
+        got = language_id.identify(new, model, work_dir(spark, "t8"), "doc_id", F.col("text"), declared, host).collect()
+        assert {(x["doc_id"], x["lang"]) for x in got} == {(k, f"l{k:02}") for k in range(60)}
+
+
 # op9
 
 

@@ -9,7 +9,9 @@ For each language l, the posterior of a text is the product of
 
 The counts are sums of text posteriors, one grouped aggregation for each level, so a host with a third of all rows
 costs one row per task and language. Texts are read once; what they give is stored, and the rest are joins on keys.
-The n-gram models are fitted on a bounded sample: SAMPLE texts of each language, of at most SAMPLE_BYTES bytes.
+Every language in the labels has a model. It is fitted on a bounded sample, SAMPLE texts of 20 to SAMPLE_BYTES bytes;
+a language without such texts is fitted on up to SAMPLE shorter and LONG longer ones, whole. Posteriors are stored
+sparsely: languages that are MOST_EVIDENCE behind the best one are left out and put back when evidence is fused.
 
 Defined results: a text without trigrams is judged by the other evidence; missing evidence of any kind says nothing;
 a text with no evidence at all has the language `und` and confidence 0, as has one whose best language is no better
@@ -19,7 +21,6 @@ than LEAST. Ids may repeat or be null; every row gets a result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.shared import pick, stored, text_slices
 
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 300, 20_000, 40
+SAMPLE, SAMPLE_BYTES, LONG = 300, 20_000, 20
 BITS, SMOOTH, TEMPER, MOST_EVIDENCE = 16, 0.3, 0.25, 60.0
 KAPPA, LEAST = 5.0, 0.5
 
@@ -62,14 +63,18 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Log-probabilities of hashed trigrams for each language."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)
-        rows = []
-        for l in self.languages:
-            count = np.bincount(grams(pa.array(samples[l], pa.string()))[0], minlength=1 << BITS) + SMOOTH
-            rows.append(np.log(count / count.sum()))
-        table = np.array(rows).reshape(len(self.languages), 1 << BITS)
-        self.table = np.ascontiguousarray((table - table.mean(0)).T.astype(np.float32)) if len(rows) else np.zeros((1 << BITS, 0), np.float32)
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """From the trigrams of each language and how often each is."""
+        self.languages = sorted(counts)
+        self.table = np.zeros((1 << BITS, len(self.languages)), np.float32)
+        mean = np.zeros(1 << BITS)
+        for j, l in enumerate(self.languages):
+            count = np.full(1 << BITS, SMOOTH)
+            count[counts[l][0]] += counts[l][1]
+            logs = np.log(count / count.sum())
+            mean += logs / len(self.languages)
+            self.table[:, j] = logs
+        self.table -= mean[:, None].astype(np.float32)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Tempered log-likelihoods up to a constant for each text, at most MOST_EVIDENCE apart from the best."""
@@ -84,21 +89,45 @@ class Model:
         return np.maximum(out - out.max(1, keepdims=True, initial=-np.inf), -MOST_EVIDENCE) if out.shape[1] else out
 
 
+def _counted(texts: DataFrame) -> DataFrame:
+    """lang, code and n: how often each trigram is in the texts of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, most_bytes=2 << 20):
+                code, at = grams(part.column(1))
+                own = part.column(0).dictionary_encode()
+                owner = np.repeat(own.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at))
+                pairs, n = np.unique((owner << BITS) | code, return_counts=True)
+                # a language is there even if its texts have no trigrams
+                names = pa.concat_arrays([own.dictionary.take(pa.array(pairs >> BITS)), own.dictionary])
+                more = np.zeros(len(own.dictionary), np.int64)
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([pairs & ((1 << BITS) - 1), more])), pa.array(np.concatenate([n, more]))], ["lang", "code", "n"])
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
 def fit(labelled: DataFrame, text_column: str = "text", language_column: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of labelled texts: of each of the LANGUAGES most frequent languages, sample texts by hash."""
-    rows = labelled.select(*[c.alias(x) for c, x in zip(pick(labelled, text_column, language_column), ("text", "lang"))]).where(f"lang is not null and text is not null and octet_length(text) between 20 and {SAMPLE_BYTES}")
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    samples: dict[str, list[str]] = {l: [] for l in top}
-    if top:
-        # the hash up to which each language is taken, found without moving texts
-        hashed = rows.where(F.col("lang").isin(top)).withColumn("h", F.xxhash64("text"))
-        ranked = hashed.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
-        last = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-        wanted = reduce(lambda x, y: x | y, [(F.col("lang") == l) & (F.col("h") <= h) for l, h in sorted(last.items())])
-        for r in hashed.where(wanted).select("lang", "text").distinct().collect():
-            samples[r["lang"]].append(r["text"])
-        samples = {l: sorted(texts) for l, texts in samples.items()}
-    return Model(samples)
+    """Fit on a bounded sample of labelled texts: of each language, sample texts by hash."""
+    rows = labelled.select(*[c.alias(x) for c, x in zip(pick(labelled, text_column, language_column), ("text", "lang"))]).where("lang is not null and text is not null")
+    size = F.octet_length("text")
+    kind = F.when(size.between(20, SAMPLE_BYTES), 0).when(size < 20, 1).otherwise(2)
+    hashed = rows.withColumn("h", F.xxhash64("text")).withColumn("kind", kind)
+    # the hash up to which each language's texts of a kind are taken, found without moving texts
+    ranked = hashed.select("lang", "kind", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy("h"))).where((F.col("r") <= sample) & ((F.col("kind") < 2) | (F.col("r") <= LONG)))
+    last = ranked.groupBy("lang", "kind").agg(F.max("h").alias("last")).collect()
+    usual = {r["lang"] for r in last if r["kind"] == 0}
+    wanted = [(r["lang"], r["kind"], r["last"]) for r in last if r["kind"] == 0 or r["lang"] not in usual]
+    if not wanted:
+        return Model({})
+    bounds = labelled.sparkSession.createDataFrame(wanted, "lang string, kind int, last long")
+    chosen = hashed.join(F.broadcast(bounds), ["lang", "kind"]).where("h <= last").select("lang", "text").distinct()
+    found = _counted(chosen).toArrow()
+    names, codes, counts = found.column("lang").combine_chunks().dictionary_encode(), found.column("code").to_numpy(), found.column("n").to_numpy()
+    owner = names.indices.to_numpy()
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(len(names.dictionary) + 1))
+    return Model({l: (codes[order[a:b]], counts[order[a:b]]) for l, a, b in zip(names.dictionary.to_pylist(), cuts[:-1], cuts[1:])})
 
 
 def suffix_and_domain(host: Column) -> tuple[Column, Column]:
@@ -106,62 +135,91 @@ def suffix_and_domain(host: Column) -> tuple[Column, Column]:
     return F.element_at(F.split(host, r"\."), -1), F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
 
 
+def _spread(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of (j, q) as rows of a matrix; what is not listed is 0."""
+    out = np.zeros((len(lists), width))
+    values = lists.flatten()
+    owner = np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    out[owner, values.field("j").to_numpy(zero_copy_only=False)] = values.field("q").to_numpy(zero_copy_only=False)
+    return out
+
+
+def _fused(own: np.ndarray, levels: list[np.ndarray], said: np.ndarray, declares: np.ndarray, everything: np.ndarray) -> np.ndarray:
+    """Logarithms of posteriors up to a constant for each row, from the text's own part and the sums of its keys.
+
+    levels go from address suffix to host; said are the sums of what the row declares, if it declares anything.
+    """
+    width = len(everything)
+    # from all rows down to the host, without the row itself
+    prior = (everything - own + 1.0) / (everything.sum() - own.sum(1, keepdims=True) + width)
+    for level in levels:
+        counts = np.maximum(level - own, 0.0)
+        prior = (counts + KAPPA * prior) / (counts.sum(1, keepdims=True) + KAPPA)
+    declared = np.log((np.maximum(said - own, 0.0) + 0.05) / (everything + 1.0))
+    with np.errstate(divide="ignore"):
+        text = np.log(own)
+    best = own.max(1, keepdims=True)
+    text = np.where(best > 0, np.maximum(text, np.log(np.where(best > 0, best, 1.0)) - MOST_EVIDENCE), 0.0)
+    return text + np.log(prior) + np.where(declares[:, None], declared, 0.0)
+
+
 def identify(df: DataFrame, model: Model, work: str, id_column: str, text: Column, declared: Column, host: Column) -> DataFrame:
     """For each row: id, lang, confidence, text_lang (by text alone) and declared.
 
     The result has one row for each row of df; ids need not be unique.
     """
     languages = model.languages
+    width = len(languages)
     held = df.sparkSession.sparkContext.broadcast(model)
+    id_type = dict(df.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, most_bytes=2 << 20):
                 e = held.value.evidence(part.column(1))
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1) * len(languages), pa.int32()), pa.array(e.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), listed], ["id", "declared", "host", "e"])
+                weight = np.exp(e)
+                heard = (e != 0).any(1)
+                kept = heard[:, None] & (e > -MOST_EVIDENCE)
+                q = weight / weight.sum(1, keepdims=True) if width else weight
+                pairs = pa.StructArray.from_arrays([pa.array(np.nonzero(kept)[1].astype(np.int32)), pa.array(q[kept])], ["j", "q"])
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept.sum(1))]), pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), listed], ["id", "declared", "host", "own"])
 
     rows = df.select(pick(df, id_column)[0].alias("id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), F.lower(declared.cast("string")).alias("declared"), host.cast("string").alias("host"))
-    read = rows.mapInArrow(run, f"id {dict(df.dtypes)[id_column]}, declared string, host string, e array<double>")
+    read = rows.mapInArrow(run, f"id {id_type}, declared string, host string, own array<struct<j: int, q: double>>")
     if not languages:
         return read.select(F.col("id").alias(id_column), F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), "declared")
-    weight = F.transform("e", lambda v: F.exp(v))
-    total = F.aggregate(weight, F.lit(0.0), lambda s, v: s + v)
-    heard = F.exists("e", lambda v: v != 0)
-    parts = [F.when(heard, weight[j] / total).otherwise(0.0).alias(f"q{j}") for j in range(len(languages))]
     suffix, domain = suffix_and_domain(F.col("host"))
-    seen = stored(read.select("id", "declared", "host", F.nullif(domain, F.lit("")).alias("domain"), F.nullif(suffix, F.lit("")).alias("suffix"), "e", *parts), f"{work}/evidence")
+    seen = stored(read.select("id", "declared", "host", F.nullif(domain, F.lit("")).alias("domain"), F.nullif(suffix, F.lit("")).alias("suffix"), "own"), f"{work}/evidence")
 
-    q = [f"q{j}" for j in range(len(languages))]
     # sums over all rows; the rest are sums of them, for the levels nest
-    by_host = stored(seen.groupBy("host", "domain", "suffix", "declared").agg(*[F.sum(c).alias(c) for c in q]), f"{work}/counts")
-
-    def level(key: str) -> DataFrame:
-        return by_host.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(c).alias(f"{key}_{c}") for c in q])
-
-    everything = by_host.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in q]).first()
-    all_rows = [everything[c] for c in q]
+    each = seen.select("host", "domain", "suffix", "declared", F.inline("own"))
+    by_host = stored(each.groupBy("host", "domain", "suffix", "declared", "j").agg(F.sum("q").alias("q")), f"{work}/counts")
+    everything = np.zeros(width)
+    for r in by_host.groupBy("j").agg(F.sum("q").alias("q")).collect():
+        everything[r["j"]] = r["q"]
     out = seen
     for key in ("host", "domain", "suffix", "declared"):
-        out = out.join(level(key), key, "left")
+        sums = by_host.where(F.col(key).isNotNull()).groupBy(key, "j").agg(F.sum("q").alias("q"))
+        out = out.join(sums.groupBy(key).agg(F.collect_list(F.struct("j", "q")).alias(f"of_{key}")), key, "left")
 
-    # from all rows down to the host, without the row itself
-    prior = [(F.lit(a) - F.col(c) + 1.0) / (F.lit(sum(all_rows)) - sum(F.col(x) for x in q) + len(q)) for a, c in zip(all_rows, q)]
-    for key in ("suffix", "domain", "host"):
-        counts = [F.coalesce(F.greatest(F.col(f"{key}_{c}") - F.col(c), F.lit(0.0)), F.lit(0.0)) for c in q]
-        size = sum(counts, F.lit(0.0))
-        out = out.withColumns({f"p_{key}_{j}": (n + KAPPA * p) / (size + KAPPA) for j, (n, p) in enumerate(zip(counts, prior))})
-        prior = [F.col(f"p_{key}_{j}") for j in range(len(q))]
-    said = [F.when(F.col("declared").isNull(), 0.0).otherwise(F.log((F.greatest(F.coalesce(F.col(f"declared_{c}") - F.col(c), F.lit(0.0)), F.lit(0.0)) + 0.05) / (a + 1.0))) for a, c in zip(all_rows, q)]
-    out = out.withColumn("logs", F.array(*[F.col("e")[j] + F.log(p) + s for j, (p, s) in enumerate(zip(prior, said))]))
-    top = F.array_max("logs")
-    named = F.array(*[F.lit(l) for l in languages])
-    any_evidence = heard | F.col("declared").isNotNull() | F.col("host_q0").isNotNull()
-    out = out.withColumn("c", F.when(any_evidence, 1.0 / F.aggregate(F.transform("logs", lambda v: F.exp(v - top)), F.lit(0.0), lambda s, v: s + v)).otherwise(0.0))
-    best = F.element_at(named, F.array_position("logs", top).cast("int"))
-    by_text = F.when(heard, F.element_at(named, F.array_position("e", F.array_max("e")).cast("int"))).otherwise("und")
-    sure = F.col("c") > LEAST
-    return out.select(F.col("id").alias(id_column), F.when(sure, best).otherwise("und").alias("lang"), F.when(sure, F.round("c", 6)).otherwise(0.0).alias("confidence"), by_text.alias("text_lang"), "declared")
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = np.array([*languages, "und"], object)
+        step = max(1, 500_000 // width)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                own, *levels, said = (_spread(part.column(k), width) for k in range(3, 8))
+                declares, hosted = (part.column(k).is_valid().to_numpy(zero_copy_only=False) for k in (1, 2))
+                heard = own.any(1)
+                logs = _fused(own, levels, said, declares, everything)
+                c = np.where(heard | declares | hosted, 1.0 / np.exp(logs - logs.max(1, keepdims=True)).sum(1), 0.0)
+                sure = c > LEAST
+                lang, by_text = named[np.where(sure, logs.argmax(1), width)], named[np.where(heard, own.argmax(1), width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(np.where(sure, c.round(6), 0.0)), pa.array(by_text, pa.string()), part.column(1)], ["id", "lang", "confidence", "text_lang", "declared"])
+
+    fused = out.select("id", "declared", "host", "own", "of_suffix", "of_domain", "of_host", "of_declared").mapInArrow(fuse, f"id {id_type}, lang string, confidence double, text_lang string, declared string")
+    return fused.withColumnRenamed("id", id_column)
 
 
 def page_text(html: Column) -> Column:
