@@ -19,12 +19,15 @@ from tidewell.llm.shared import stored, work_dir
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with a confidence of over a half.
 
-    The declared language is lang and the host is source; an id that is rejected in any of its rows goes.
+    The declared language is lang and the host is source. Each row is judged by itself: what the verdict hangs on besides
+    all rows together is its text, lang and source, so a digest of these stands for the row, not its id.
     """
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in ("text", "lang", "source")]
+    key = F.sha2(F.concat(*parts).cast("binary"), 256)
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model, work_dir(spark, "stage-language"), "doc_id", F.col("text"), F.col("lang"), F.col("source"))
-    bad = found.where("lang = 'und'").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    found = language_id.identify(docs.withColumn("row_key", key), model, work_dir(spark, "stage-language"), "row_key", F.col("text"), F.col("lang"), F.col("source"))
+    bad = found.where("lang = 'und'").select(F.col("row_key").alias("bad_key")).distinct()
+    return docs.join(bad, key == bad["bad_key"], "left_anti")
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,13 @@ def test_stages_on_empty_and_awkward_documents(spark):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             docs = stored(stage(spark, docs, SF), work_dir(spark, f"te{k}"))
         assert docs.count() <= len(some)
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.where("lang = 'de'").limit(2).collect()
+    rows = [(None, None, None, None, None), (None, good[0]["text"], "de", "s", 1), (7, None, None, None, 0), (7, good[1]["text"], "de", None, 1)]
+    left = corpus_pipeline.identified(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)).where("doc_id is null or doc_id = 7 or doc_id % 3 = 0"), SF)
+    assert left.columns == docs.columns
+    assert [r["text"] for r in left.where("doc_id is null").collect()] == [good[0]["text"]]
+    assert good[1]["text"] in [r["text"] for r in left.where("doc_id = 7").collect()] and left.where("doc_id = 7 and text is null").count() == 0
