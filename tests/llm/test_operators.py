@@ -445,6 +445,24 @@ def test_near_copies_of_awkward_rows(spark, awkward, none):
     assert left == {None} | {i for i in comp if comp[i] == i}
 
 
+def test_near_copies_of_ids_with_several_texts(spark):
+    r = random.Random(6)
+    a, b, c = ([f"w{r.randrange(500)}" for _ in range(n)] for n in (300, 300, 40))
+    change = lambda w, k: " ".join("neu" if i == k else x for i, x in enumerate(w))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (0, " ".join(b)), (2, change(a, 50)), (3, " ".join(a)), (4, change(b, 70)), (5, " ".join(c)), (6, change(c, 0)), (6, ""), (7, ""), (None, " ".join(a)), (8, "short")]
+    got = near_copies.near_copies(spark.createDataFrame([(*x, "x") for x in rows], "doc_id long, text string, c string"), work_dir(spark, "t9")).collect()
+    want = {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 5, 7: 7, 8: 8, None: None}
+    assert len(got) == len(rows) and {(x["doc_id"], x["component_id"]) for x in got} == set(want.items())
+    assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
+
+
+def test_the_estimate_drops_few_linked_pairs():
+    from math import ceil, comb
+
+    n, p = near_copies.SKETCH, near_copies.PERCENT / 100
+    assert sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(ceil(near_copies.LEAST_ESTIMATE * n))) < 1e-6
+
+
 # op10
 
 

@@ -20,7 +20,8 @@ probability J, so sketches of linked texts share most values. The steps:
    further comparison, so the first round verifies the best open candidate of each text, and later ones what is left.
 6. Texts of one long list that are still in different components are then compared with each other.
 
-Empty sets are linked with nothing. Rows with equal ids are one node, linked by one of their texts; a null id has its size and no component.
+Empty sets are linked with nothing. Rows with equal ids are one node, linked by all of
+their texts: where an id has several, classes take the place of ids, and an id joins its classes. A null id has its size and no component.
 """
 
 from __future__ import annotations
@@ -41,9 +42,10 @@ SKETCH, PROBE, SHORT, PIVOTS = 128, 16, 12, 2
 #: Share of retained values on short lists above which a text leaves the long lists: a quarter, and four deviations
 #: of a sketch's share if the sketch holds a part of the set only.
 RARE_WHOLE, RARE_PART = 0.25, 0.42
-#: Candidates whose estimate is four deviations below the limit are dropped; small sets are estimated exactly.
 PARITY_LONGS = 16
-LEAST_ESTIMATE, LIKELY_ESTIMATE = 0.60, 0.70
+#: Candidates whose estimate is over five deviations below the limit are dropped: a linked pair with a chance under 1e-6. Small
+#: sets are estimated exactly.
+LEAST_ESTIMATE, LIKELY_ESTIMATE = 0.55, 0.70
 
 
 def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -69,8 +71,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, union, assume_unique=True).sum()) / max(1, len(union))
 
 
-def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_shingles, d1 and d2 (128 bits that stand for the whole set) and values (the sketch, ascending)."""
+def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+    """id, n_shingles, d1 and d2 (128 bits that stand for the whole set) and values (the sketch, ascending), or text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,10 +86,10 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                     values.append((s[:SKETCH] >> np.uint64(1)).astype(np.int64))
                 sizes = np.cumsum([0, *map(len, values)])
                 listed = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), listed], ["id", "n_shingles", "d1", "d2", "values"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), part.column(1) if with_text else listed], ["id", "n_shingles", "d1", "d2", "text" if with_text else "values"])
 
     rows = docs.select(*[c.alias(x) for c, x in zip(pick(docs, id_column, text_column), ("id", "text"))]).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, values array<long>")
+    return rows.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, " + ("text string" if with_text else "values array<long>"))
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -207,15 +209,37 @@ def _between(candidates: DataFrame, components: DataFrame) -> DataFrame:
     return named.where("ca <> cb")
 
 
+def _by_class(docs: DataFrame, sk: DataFrame, work: str, id_column: str, text_column: str) -> DataFrame:
+    """id and component where ids have several texts: near_copies() of one text of each class, under the class's number."""
+    keys = ["d1", "d2", "n_shingles"]
+    sized = sk.where("n_shingles > 0 and id is not null").select("id", *keys)
+    numbered = stored(sized.select(*keys).distinct().withColumn("c", F.monotonically_increasing_id()), f"{work}/numbered")
+    one = sketch(docs, id_column, text_column, with_text=True).where("n_shingles > 0 and id is not null").groupBy(*keys).agg(F.min("text").alias("text"))
+    one = stored(one.join(numbered, keys).select("c", "text"), f"{work}/class-texts")
+    found = near_copies(one, f"{work}/by-class", "c", "text").select("c", F.col("component_id").alias("part"))
+    placed = stored(sized.join(numbered, keys).join(found, "c").select("id", "part").distinct(), f"{work}/parts")
+    # an id joins the components of its texts
+    first = placed.groupBy("id").agg(F.min("part").alias("a"))
+    joins = connected(placed.join(first, "id").select("a", F.col("part").alias("b")), f"{work}/ids")
+    root = placed.join(joins.select(F.col("node").alias("part"), F.col("component").alias("root")), "part", "left").select("id", F.coalesce("root", "part").alias("root")).distinct()
+    return stored(root.join(root.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component"), f"{work}/of-ids")
+
+
 def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: id, n_shingles, component_id (the smallest id reachable over links) and kept (whether that is itself)."""
     spark = docs.sparkSession
     sk = stored(sketch(docs, id_column, text_column), f"{work}/sketches")
-    classes = stored(sk.where("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")), f"{work}/classes")
     sized = sk.where("n_shingles > 0 and id is not null")
+    differ = reduce(lambda x, y: x | y, [F.min(c) != F.max(c) for c in ("d1", "d2", "n_shingles")])
+    repeated = sized.groupBy("id").agg(F.count("*").alias("rows"), differ.alias("differ")).where("rows > 1").agg(F.count("*").alias("ids"), F.max("differ").alias("differ")).first()
+    if repeated["differ"]:
+        out = sk.select("id", "n_shingles").join(_by_class(docs, sk, work, id_column, text_column), "id", "left")
+        out = out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
+    classes = stored(sized.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")), f"{work}/classes")
     others = stored(sized.select("id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).where("id <> rep").select("id").distinct(), f"{work}/others")
     reps = restricted(sized, others, "left_anti").select("id", F.col("n_shingles").alias("n"), "values")
-    if not sized.groupBy("id").count().where("count > 1").isEmpty():
+    if repeated["ids"]:
         reps = reps.groupBy("id").agg(F.max(F.struct("n", "values")).alias("r")).select("id", "r.n", "r.values")
 
     # 2. screen
