@@ -308,8 +308,9 @@ def test_chats(spark):
 def brute_contaminated(text, item):
     words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
     a, b = words(text), words(item)
-    size, most = (13, 2) if len(b) >= 13 else (len(b), 0)
-    if size < 5:
+    size = min(13, len(b))
+    most = 2 if size == 13 else 1 if size >= 7 else 0
+    if not size:
         return False
     return any(sum(x != y for x, y in zip(a[i : i + size], b[k : k + size])) <= most for i in range(len(a) - size + 1) for k in range(len(b) - size + 1))
 
@@ -340,7 +341,44 @@ def test_decontamination(spark, awkward):
         assert {(x["doc_id"], x["item_id"]) for x in got} == want
         left = {x["doc_id"] for x in decontaminate.decontaminate(df, bench, block_bytes=block).collect()}
         assert left == {x["doc_id"] for x in df.collect()} - {d for d, _ in want}
-    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
+    for block in (decontaminate.BLOCK_BYTES, 200):
+        assert decontaminate.contaminated(df, bench.limit(0), block_bytes=block).count() == 0 and decontaminate.contaminated(df.limit(0), bench, block_bytes=block).count() == 0
+
+
+def test_decontamination_of_short_items_and_other_letters(spark):
+    filler = "und noch mehr Text davor und danach"
+    items = ["ja", "vier Wörter in Folge", "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf", "ΟΔΟΣ ΜΑΣ ΛΟΓΟΣ ΤΙΜΕΣ ΠΟΛΙΣ", "İSTANBUL IŞIK ÇOK GÜZEL BİR ŞEHİR", "a b c d e f g"]
+    hits = [(i, f"{filler} {t} {filler}", k) for i, (k, t) in enumerate((k, t) for k, t in enumerate(items))]
+    hits += [(10, f"{filler} {items[2].replace('sechs', 'x')} {filler}", 2), (11, items[5].replace("a", "z"), 5), (12, items[5].replace("g", "z"), 5), (13, items[3].lower().replace("ς", "σ"), 3)]
+    clean = [(20, "jaja nein"), (21, items[2].replace("sechs", "x").replace("zehn", "y")), (22, "vier Wörter nicht in Folge"), (23, items[5].replace("a", "z").replace("c", "y")), (24, filler)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in hits] + clean, "doc_id long, text string")
+    for kind in ("smallint", "decimal(9,2)", "string"):
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+        for block in (decontaminate.BLOCK_BYTES, 10):
+            got = decontaminate.contaminated(df, bench, block_bytes=block)
+            assert dict(got.dtypes)["item_id"] == kind
+            assert {(r["doc_id"], int(float(r["item_id"]))) for r in got.collect()} == {(i, k) for i, _, k in hits}
+    longer = decontaminate.contaminated(df, bench, least_words=5)
+    assert {r["doc_id"] for r in longer.collect()} == {i for i, _, k in hits if k not in (0, 1)}
+
+
+def test_decontamination_of_a_passage_that_all_share(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    items = [(i, f"a{i} b{i} {passage} c{i}") for i in range(200)]
+    docs = [(i, f"{'x ' * (i % 7)}{passage} y{i}") for i in range(30)] + [(100, passage[:30])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for block in (decontaminate.BLOCK_BYTES, 200):
+        rows.append(sorted(map(tuple, decontaminate.contaminated(df, bench, block_bytes=block).collect())))
+        assert len(rows[-1]) == 30 * 200 and min(r[2] for r in rows[-1]) >= 30
+        assert [r["doc_id"] for r in decontaminate.decontaminate(df, bench, block_bytes=block).collect()] == [100]
+    assert rows[0] == rows[1]
+    index = decontaminate.Index(pa.array([t for _, t in items]))
+    words, at = decontaminate.words_of(pa.array([t for _, t in docs]))
+    old, decontaminate.CHUNK = decontaminate.CHUNK, 100  # in small steps
+    small = index.find(words, at)
+    decontaminate.CHUNK = old
+    assert all((x == y).all() for x, y in zip(small, index.find(words, at)))
 
 
 # op8
@@ -485,6 +523,49 @@ def test_toxicity_on_held_out_rows(spark, awkward, none):
     assert {r["predicted"] for r in toxicity.score(awkward, blank).collect()} == {0}
 
 
+def test_the_table_is_the_kernel_decision():
+    rng = np.random.default_rng(3)
+    marks, words = ["idiot", "worthless", "the", "tisch", "größe", "x1"], ["idiots", "table", "größen", "a", "", "worthles", "i-d-i-o-t", "x" * 32]
+    beta = rng.standard_normal(len(marks))
+    table = toxicity.as_table(marks, beta, 0.25)
+    assert np.allclose(toxicity.margins(words, table)[[i for i, w in enumerate(words) if len(w) > 1]], (toxicity.kernel(words, marks) @ beta + 0.25)[[i for i, w in enumerate(words) if len(w) > 1]], atol=1e-4)
+
+    def plain(a, b):
+        def features(w):
+            marked, out = f"\0{w}\0", {}
+            for places in combinations(range(len(marked)), toxicity.ORDER):
+                span = places[-1] - places[0] + 1
+                if span <= toxicity.ORDER + toxicity.GAPS:
+                    key = tuple(0 if marked[p] == "\0" else int(toxicity.CLASSES[ord(marked[p])]) for p in places)
+                    out.setdefault(key, []).append(toxicity.DECAY ** (span - toxicity.ORDER))
+            norm = np.sqrt(sum(x * x for xs in out.values() for x in xs))
+            return {k: sum(xs) / norm for k, xs in out.items()}
+
+        x, y = features(a), features(b)
+        return sum(v * y.get(k, 0) for k, v in x.items())
+
+    for a in ("idiots", "größen", "worthles"):
+        for b in marks[:5]:
+            assert toxicity.kernel([a], [b])[0, 0] == pytest.approx(plain(a, b), abs=1e-4)
+
+
+def test_windows_of_texts():
+    names, text, unit = toxicity.bags(pa.array(["You are an id iot, s.t.u.p.i.d", None, "", "m o r o n", "y" * 70]))
+    of = lambda k: {names[u] for t, u in zip(text, unit) if t == k}
+    assert {"you", "arean", "idiot", "s.t.u.p.i.d", "stupid"} <= of(0) and not of(1) and not of(2)
+    assert "moron" in of(3) and max(map(len, of(4))) == toxicity.LONGEST
+
+
+def test_training_needs_no_words_with_labels():
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("aehinorst") for _ in range(r.randrange(2, 8)))
+    text = lambda *more: " ".join(r.sample([*(word() for _ in range(30)), *more], 30 + len(more)))
+    rows = [(text(r.choice(["blödmann", "schwachkopf"])), 1) for _ in range(60)] + [(text(), 0) for _ in range(200)]
+    table, slope, shift = toxicity.train(pa.array([t for t, _ in rows]), np.array([y for _, y in rows]))
+    p = toxicity.scores(pa.array(["der blödmann da", "schwach köpfe", "schwachkopff", text(), text(), ""]), (table, slope, shift))
+    assert min(p[0], p[2]) >= toxicity.CUT > max(p[3:])
+
+
 def test_fold_and_kernel():
     assert [toxicity.crc_fold(i) for i in (0, 1, 2)] == [zlib.crc32(str(i).encode()) % 3 for i in (0, 1, 2)]
     words = ["idiot", "idiots", "table"]

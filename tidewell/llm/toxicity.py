@@ -1,18 +1,25 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear SVM (operator 10).
 
-Kernel. A word's features are its subsequences of ORDER characters within a span of ORDER + GAPS, each weighted by
-DECAY to the number of skipped characters, over the word with a mark at either end and scaled by a norm that
-only the length sets. So `idiot`, `id.iot` and `idjiot`, or a stem with any ending, share most of their weight.
-
-Training takes a bounded sample of labelled rows (SAMPLE_DOCS of them, in the order of a hash, of at most
-SAMPLE_BYTES bytes each). Words of toxic texts that stand in several different contexts and (nearly) never in clean
-texts are the positive examples, together with copies that have a character put in; words of clean texts are the
-negative ones, and each round adds the clean words that score highest. Landmarks are drawn from both. The SVM is
-linear on the Nyström features K(landmarks, landmarks)^(-1/2) k(word, landmarks). As the kernel is an inner
-product of explicit features, the decision is one table of weights over subsequences, which is what executors get.
-
-A text's margin is that of its worst word; a logistic curve, fitted on sampled texts kept out of training, turns it
-into the score. Empty and null texts have no words and the lowest margin. Labels, language and source are no inputs.
+Kernel. The features of a window of characters are its subsequences of ORDER characters within a span of ORDER + GAPS,
+each weighted by DECAY to the number of skipped characters, over the window with a mark at either end and scaled by
+a norm that only the length sets. So `idiot`, `id.iot` and `idjiot`, or a stem with any ending, share most of their weight.
+
+Windows. A labelled text is a bag of windows: its words, words without their inner signs, neighbouring short words
+joined (`id iot`), and runs of single characters joined (`i d i o t`). A text's decision is that of its worst window.
+
+Training is that of a multiple-instance SVM: only texts have labels, never words. The first decision weighs each
+feature by the logarithm of how much more often toxic texts have it than clean ones. Then, in rounds, a toxic text is
+stood for by its windows that the decision so far calls toxic, or by the worst one; clean texts by a sample of their
+windows and those that score high. The VIRTUAL most frequent windows that only toxic texts have count once more with a
+character put in. The SVM is fitted on the Nyström features K(landmarks, landmarks)^(-1/2) k(window, landmarks), with
+landmarks from both. As the kernel is an inner product of explicit features, the decision is one table of weights over
+subsequences, which is what executors get.
+
+It is fitted on a bounded sample of labelled rows: SAMPLE_DOCS of them, in the order of a hash, of at most SAMPLE_BYTES bytes
+each. Within it, clean windows start as NEGATIVES and grow by HARD each round; these bound memory. A logistic curve, fitted
+on a quarter of the sample that is kept out of the SVM, turns margins into scores; there, toxic texts weigh COST_MISSED
+times as much as clean ones. Empty and null texts have no windows and the lowest margin. Labels, language and source
+are no inputs. Repeated rows of labels are one; a doc_id with both labels is toxic; texts of a repeated doc_id share its label.
 """
 
 from __future__ import annotations
@@ -21,8 +28,8 @@ import hashlib
 import multiprocessing
 import os
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -32,14 +39,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import pick, stored, text_slices
+from tidewell.llm.shared import pick, stored, text_slices, trim
 
 ORDER, GAPS, DECAY = 4, 3, 0.6
 SAMPLE_DOCS, SAMPLE_BYTES = 8_000, 20_000
-LANDMARKS, NEGATIVES, ROUNDS, HARD = 320, 12_000, 4, 3_000
+LANDMARKS, NEGATIVES, ROUNDS, HARD = 320, 12_000, 5, 3_000
+COST_TOXIC, COST_CLEAN, COST_MISSED, VIRTUAL = 2.0, 10.0, 3.0, 24
+#: What is added to counts of a feature, and the share of clean texts that the first decision may put above its level.
+SMOOTH, FEW = 0.3, 0.2
 CUT = 0.7
-LONGEST, OVERLAP = 32, 10
+#: Characters of a window at most, and what neighbouring pieces of a longer word share; characters of a word that is joined with its neighbour.
+LONGEST, OVERLAP, SHORT = 32, 10, 3
 NO_WORD = -4.0
+SLICE_BYTES = 4 << 20
 
 #: 32 classes of characters. 0 is the mark at either end, 1 to 26 are letters.
 DIGIT, SIGN, ACUTE_E, ACCENTED, OTHER = 27, 28, 29, 30, 31
@@ -170,89 +182,136 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 25, seed:
     return w
 
 
-def text_words(text: str | None) -> list[str]:
-    return [c for w in (text or "").lower().split() if (c := clean(w))]
-
-
 def hashed(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
 
 
-def stretched(word: str, k: int) -> list[str]:
-    """The word with a letter put in or doubled."""
-    h = hashed(f"{word}{k}")
+def stretched(word: str) -> list[str]:
+    """The word with a letter put in, and with one doubled, at places that its hash chooses."""
+    h = hashed(word)
     at = 1 + h % max(1, len(word) - 1)
-    return [word[:at] + "xvhzk"[(h >> 8) % 5] + word[at:], word[:at] + word[at - 1] + word[at:]]
-
-
-def train(rows: Iterable[tuple[str, int]]) -> tuple[np.ndarray, float, float]:
-    """From texts and labels: the table of weights (the last entry is the bias), and the curve's slope and shift."""
-    one: dict[str, str] = {}  # each word is held once
-    rows = [([one.setdefault(w, w) for w in text_words(t)], y, hashed(t or "")) for t, y in rows]
-    rows.sort(key=lambda r: r[2])
-    rows = [r[:2] for r in rows]
-    toxic, harmless = Counter(), Counter()
-    held = rows[::4]
-    for k, (words, y) in enumerate(rows):
-        if k % 4:
-            (toxic if y else harmless).update(set(words))
-    before: dict[str, set] = defaultdict(set)
-    after: dict[str, set] = defaultdict(set)
-    maybe = {w for w, c in toxic.items() if c >= 4 and 10 * c > harmless[w]}
-    for k, (words, y) in enumerate(rows):
-        if k % 4 and y:
-            for a, w, b in zip(["", *words], words, [*words[1:], ""]):
-                if w in maybe:
-                    before[w].add(a) if len(before[w]) < 8 else None
-                    after[w].add(b) if len(after[w]) < 8 else None
-    n1, n0 = max(1, sum(1 for k, r in enumerate(rows) if k % 4 and r[1])), max(1, sum(1 for k, r in enumerate(rows) if k % 4 and not r[1]))
-    lift = {w: (c / n1) / ((harmless[w] + 0.5) / n0) for w, c in toxic.items() if w in maybe and len(before[w]) >= 4 and len(after[w]) >= 4 and 3 <= len(w) <= LONGEST}
-    bad = sorted((w for w, x in lift.items() if x >= 25), key=lambda w: (-toxic[w], w))[:2000]
-    table = np.zeros(32**ORDER, np.float32)
-    table = np.append(table, np.float32(-1))
-    if not bad:
-        return table, 1.0, 0.0
-    known = set(bad)
-    pool = sorted((w for w in harmless if w not in known and len(w) <= LONGEST), key=hashed)
-    more = [v for k in range(2) for w in bad[:600] for v in stretched(w, k) if v not in harmless]
-    good = pool[:NEGATIVES]
-    chosen = list(dict.fromkeys(bad[: LANDMARKS // 3] + sorted(bad, key=hashed)[: LANDMARKS // 3] + sorted(more, key=hashed)[: LANDMARKS // 9]))
-    landmarks: list[str] = []
+    return [word[:at] + chr(97 + (h >> 8) % 26) + word[at:], word[:at] + word[at - 1] + word[at:]]
+
+
+def bags(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct windows of texts, and for each place a window has in a text the text's number and the window's."""
+    parts = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    coded_words = parts.values.dictionary_encode()
+    word = coded_words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    known = coded_words.dictionary.to_pylist()
+    number: dict[str, int] = {}
+    seen = [[number.setdefault(p, len(number)) for p in views(w)] for w in known]
+    size = np.array([len(x) for x in seen] or [0])
+    flat, first = np.array([i for x in seen for i in x] or [0]), np.cumsum(size) - size
+    count = size[word]
+    unit = flat[np.arange(int(count.sum())) + np.repeat(first[word] - (np.cumsum(count) - count), count)]
+    texts_of, units = [np.repeat(text, count)], [unit]
+    bare = [clean(w) if len(w) <= SHORT + 2 else "" for w in known]
+    letters = np.array([len(b) if len(b) <= SHORT else 0 for b in bare] or [0])[word]
+    # neighbours of few characters each, joined
+    at = np.flatnonzero((letters[:-1] > 0) & (letters[1:] > 0) & (text[:-1] == text[1:]))
+    if len(at):
+        pairs, of = np.unique(word[at] * len(known) + word[at + 1], return_inverse=True)
+        joined = np.array([number.setdefault(bare[p // len(known)] + bare[p % len(known)], len(number)) for p in pairs.tolist()])
+        texts_of.append(text[at])
+        units.append(joined[of])
+    # runs of single characters
+    single = np.concatenate([[0], (letters == 1).astype(np.int8), [0]])
+    starts, stops = np.flatnonzero(np.diff(single) == 1), np.flatnonzero(np.diff(single) == -1)
+    for a, b in zip(starts[stops - starts > 2].tolist(), stops[stops - starts > 2].tolist()):
+        for c in np.split(np.arange(a, b), np.flatnonzero(np.diff(text[a:b])) + 1):
+            own = [number.setdefault(p, len(number)) for p in pieces("".join(bare[i] for i in word[c].tolist()))]
+            texts_of.append(np.full(len(own), text[c[0]]))
+            units.append(np.array(own))
+    return list(number), np.concatenate(texts_of), np.concatenate(units)
+
+
+def worst(n: int, text: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The largest value of each of n texts."""
+    out = np.full(n, NO_WORD)
+    np.maximum.at(out, text, values)
+    return out
+
+
+def summed(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """The weighted sum of the words' features."""
+    out = np.zeros(32**ORDER)
+    for some, code, weight in coded(words):
+        out += np.bincount(code.ravel(), np.outer(weights[some], weight).ravel(), 32**ORDER)
+    return out
+
+
+def whitening(landmarks: list[str]) -> np.ndarray:
+    """The inverse root of the landmarks' kernel."""
+    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64) + 1e-6 * np.eye(len(landmarks)))
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
+
+
+def as_table(landmarks: list[str], beta: np.ndarray, bias: float) -> np.ndarray:
+    """The decision bias + sum of beta k(., landmark) as weights of subsequences; the last entry is the bias."""
+    table = np.zeros(32**ORDER)
+    for some, code, weight in coded(landmarks):
+        for i, c in zip(some, code):
+            np.add.at(table, c, beta[i] * weight)
+    return np.append(table, bias).astype(np.float32)
+
+
+def train(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """From texts and their labels: the table of weights, and the curve's slope and shift."""
+    order = sorted(range(len(texts)), key=lambda i: hashed(texts[i].as_py() or ""))
+    texts, labels = texts.take(pa.array(order, pa.int64())), labels[order]
+    n, held = len(texts), np.arange(len(texts)) % 4 == 0
+    names, text, unit = bags(texts)
+    once = np.unique(text * max(1, len(names)) + unit)
+    text, unit = once // max(1, len(names)), once % max(1, len(names))
+    bad, good = (labels[text] == 1) & ~held[text], (labels[text] != 1) & ~held[text]
+    if not bad.any() or not good.any():
+        return np.append(np.zeros(32**ORDER, np.float32), np.float32(-1)), 1.0, 0.0
+
+    # the first decision: the logarithm of how often toxic texts have a feature over how often clean ones do, smoothed
+    n_bad, n_good = (len(np.unique(text[x])) for x in (bad, good))
+    mean_bad, mean_good = (summed(names, np.bincount(unit[x], minlength=len(names)) / m) for x, m in ((bad, n_bad), (good, n_good)))
+    first = np.log((mean_bad + SMOOTH / n_bad) / (mean_good + SMOOTH / n_bad))
+    f = margins(names, np.append(first, 0.0).astype(np.float32))
+    bad_text, bad_unit, clean_units = text[bad], unit[bad], np.unique(unit[good])
+    clean_times = np.bincount(unit[good], minlength=len(names))
+    clean_names = {names[u] for u in clean_units.tolist()}
+    by_hash = sorted(clean_units.tolist(), key=lambda u: hashed(names[u]))
+    chosen, before = by_hash[:NEGATIVES], None
+    level = np.quantile(worst(n, text[good], f[unit[good]])[np.unique(text[good])], 1 - FEW)
     for _ in range(ROUNDS):
-        words = bad + more + good
-        landmarks = chosen + sorted(good[NEGATIVES:] or good, key=hashed)[: LANDMARKS - len(chosen)]
-        square = kernel(landmarks, landmarks).astype(np.float64)
-        values, vectors = np.linalg.eigh(square + 1e-6 * np.eye(len(landmarks)))
-        whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
-        x = kernel(words, landmarks) @ whiten.astype(np.float32)
-        y = np.array([1.0] * (len(bad) + len(more)) + [-1.0] * len(good))
-        cost = np.array([20 * (1 + np.log(toxic[v])) for v in bad] + [10.0] * (len(words) - len(bad)))
-        w = svm(x, y, cost)
-        beta = whiten @ w[:-1]
-        table[:] = 0
-        for some, code, weight in coded(landmarks):
-            for i, c in zip(some, code):
-                np.add.at(table, c, (beta[i] * weight).astype(np.float32))
-        table[-1] = w[-1]
-        f = margins(pool, table)
-        worst = np.argsort(-f, kind="stable")[:HARD]
-        fresh = [pool[i] for i in worst if f[i] > -0.6]
-        seen = set(good)
-        fresh = [v for v in fresh if v not in seen]
-        if not fresh:
+        # a toxic text is stood for by its worst window and others above the level, and clean windows that score high are added
+        rank = np.lexsort((bad_unit, -f[bad_unit], bad_text))
+        top = rank[np.unique(bad_text[rank], return_index=True)[1]]
+        above = np.union1d(top, np.flatnonzero(f[bad_unit] > level))
+        witness, times = np.unique(bad_unit[above], return_counts=True)
+        level = 0.0
+        hard = clean_units[np.argsort(-f[clean_units], kind="stable")[:HARD]]
+        fresh = np.setdiff1d(hard if before is None else hard[f[hard] > -0.6], chosen).tolist()
+        if before is not None and not fresh and np.array_equal(before, witness):
             break
-        good = good + fresh
-    # the curve, on texts kept out: regularised logistic regression by Newton's steps, classes weighted alike
-    flat = [(w, k) for k, (words, _) in enumerate(held) for v in words for w in views(v)]
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(w for w, _ in flat))}
-    f = margins(list(distinct), table)
-    top = np.full(len(held), NO_WORD)
-    for w, k in flat:
-        top[k] = max(top[k], f[distinct[w]])
-    y = np.array([float(r[1]) for r in held])
-    z = np.clip(top, -2, 2)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    theta, design = np.array([1.0, 0.0]), np.stack([z, np.ones(len(z))], 1)
+        chosen, before = chosen + fresh, witness
+        often = witness[np.lexsort((witness, -times))].tolist()
+        spread = sorted(often, key=lambda u: hashed(names[u]))
+        marks = list(dict.fromkeys(often[: LANDMARKS // 3] + spread[: LANDMARKS // 3]))
+        rest = (LANDMARKS - len(marks)) // 2
+        marks = list(dict.fromkeys(marks + hard[:rest].tolist() + by_hash[:rest]))
+        landmarks = [names[u] for u in marks]
+        whiten = whitening(landmarks)
+        own = [names[u] for u in often if names[u] not in clean_names and len(names[u]) >= ORDER]
+        virtual = [v for name in own[:VIRTUAL] for v in stretched(name) if v not in clean_names]
+        x = kernel([*(names[u] for u in witness.tolist()), *virtual, *(names[u] for u in chosen)], landmarks) @ whiten.astype(np.float32)
+        y = np.concatenate([np.ones(len(witness) + len(virtual)), -np.ones(len(chosen))])
+        cost = np.concatenate([COST_TOXIC * times, np.full(len(virtual), COST_TOXIC), COST_CLEAN * clean_times[chosen]])
+        w = svm(x, y, cost)
+        table = as_table(landmarks, whiten @ w[:-1], w[-1])
+        f = margins(names, table)
+    # the curve, on texts kept out: regularised logistic regression by Newton's steps; all toxic texts together weigh COST_MISSED times the clean ones
+    top = worst(n, text, f[unit].astype(np.float64))[held]
+    y = (labels[held] == 1).astype(float)
+    weight = np.where(y == 1, 0.5 * COST_MISSED / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    theta, design = np.array([1.0, 0.0]), np.stack([top, np.ones(len(top))], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
         gradient = design.T @ (weight * (p - y)) + np.array([0.02 * theta[0], 0])
@@ -286,28 +345,9 @@ def apart(f, *arguments):
 
 
 def slice_margins(texts: pa.Array, table: np.ndarray) -> np.ndarray:
-    """The margin of each text: the largest of its words'."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    parts = pc.utf8_split_whitespace(texts)
-    offsets = parts.offsets.to_numpy()
-    coded_words = parts.values.dictionary_encode()
-    out = np.full(len(texts), NO_WORD, np.float32)
-    if not len(coded_words):
-        return out
-    number: dict[str, int] = {}
-    owner: list[int] = []
-    place: list[int] = []
-    for i, w in enumerate(coded_words.dictionary.to_pylist()):
-        for p in views(w):
-            owner.append(i)
-            place.append(number.setdefault(p, len(number)))
-    best = np.full(len(coded_words.dictionary), NO_WORD, np.float32)
-    if owner:
-        np.maximum.at(best, np.array(owner), margins(list(number), table)[np.array(place)])
-    values = best[coded_words.indices.to_numpy(zero_copy_only=False)]
-    some = np.flatnonzero(np.diff(offsets))
-    out[some] = np.maximum.reduceat(values, offsets[:-1][some])
-    return out
+    """The margin of each text: the largest of its windows'."""
+    names, text, unit = bags(texts)
+    return worst(len(texts), text, margins(names, table)[unit]) if names else np.full(len(texts), NO_WORD)
 
 
 def fold(id_column: str) -> "F.Column":
@@ -322,26 +362,37 @@ def fit(docs: DataFrame, labels: DataFrame, work: str, sample_docs: int = SAMPLE
     sample = stored(d.join(chosen, "doc_id").select("text", "toxic"), f"{work}/sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, slope, shift = apart(train, [(t, int(y)) for batch in batches for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([slope]), pa.array([shift])], ["table", "slope", "shift"])
+        got = list(batches)
+        if got:
+            sample = pa.Table.from_batches(got).combine_chunks()
+            texts, labels = sample.column(0).combine_chunks(), sample.column(1).to_numpy().astype(np.int64)
+            del got, sample
+            table, slope, shift = apart(train, texts, labels)
+            yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([slope]), pa.array([shift])], ["table", "slope", "shift"])
+            del texts
+        trim()
 
     # the sample is bounded, so one task can hold it, and the driver needs no more than the model
     made = sample.coalesce(1).mapInArrow(run, "table binary, slope double, shift double").first()
     if made is None:
-        return train([])
+        return train(pa.array([], pa.string()), np.zeros(0, np.int64))
     return np.frombuffer(made["table"], np.float32), made["slope"], made["shift"]
 
 
+def scores(texts: pa.Array, model: tuple[np.ndarray, float, float]) -> np.ndarray:
+    table, slope, shift = model
+    return 1 / (1 + np.exp(-(slope * slice_margins(texts, table) + shift)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], id_column: str = "doc_id", text_column: str = "text", cut: float = CUT) -> DataFrame:
-    """id, score and predicted for every row; no shuffle. A null id stays null, repeated rows are repeated."""
+    """id, score and predicted for every row; no shuffle. A null id stays null, repeated rows are repeated, other columns
+    are ignored; texts are scored whole, long ones in a slice of their own."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, slope, shift = held.value
         for batch in batches:
-            for part in text_slices(batch, most_bytes=8 << 20):
-                z = np.clip(slice_margins(part.column(1), table), -2, 2).astype(np.float64)
-                p = 1 / (1 + np.exp(-(slope * z + shift)))
+            for part in text_slices(batch, most_bytes=SLICE_BYTES):
+                p = scores(part.column(1), held.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["id", "score", "predicted"])
 
     out = docs.select(*[c.alias(n) for c, n in zip(pick(docs, id_column, text_column), ("id", "text"))]).mapInArrow(run, f"id {dict(docs.dtypes)[id_column]}, score double, predicted int")
@@ -354,11 +405,9 @@ def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float, float], text_
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, slope, shift = held.value
         for batch in batches:
-            for part in text_slices(batch, text_column, 8 << 20):
-                z = np.clip(slice_margins(part.column(at), table), -2, 2).astype(np.float64)
-                yield part.filter(pa.array(1 / (1 + np.exp(-(slope * z + shift))) < cut))
+            for part in text_slices(batch, text_column, SLICE_BYTES):
+                yield part.filter(pa.array(scores(part.column(at), held.value) < cut))
 
     return docs.mapInArrow(run, docs.schema)
 
