@@ -89,6 +89,18 @@ def test_token_files(spark, awkward, none, library):
     assert token_pack.read_packed(token_pack.write_packed(none, work_dir(spark, "t1"), VOCABULARY, END_ID)).count() == 0
 
 
+def test_files_without_a_store_go_to_the_default_one(spark, tmp_path, library):
+    from tidewell.llm.shared import file_folder
+
+    assert file_folder(spark, str(tmp_path / "x")) == f"file:{tmp_path}/x" and file_folder(spark, f"file://{tmp_path}/y") == f"file://{tmp_path}/y"
+    with pytest.raises(ValueError, match="cannot be written"):
+        file_folder(spark, "ftp://somewhere/z")
+    files = token_pack.write_packed(table(spark, "documents").select("doc_id", "text"), str(tmp_path / "packed"), VOCABULARY, END_ID)
+    assert files.first()["path"].startswith(f"file:{tmp_path}/packed/ids/") and token_pack.read_packed(files).count() == 200
+    index = warc_zstd.write_warc(table(spark, "pages"), str(tmp_path / "warc"))
+    assert index.first()["path"].startswith(f"file:{tmp_path}/warc/") and warc_zstd.read_warc(index).count() == table(spark, "pages").count()
+
+
 # op2
 
 
@@ -148,6 +160,21 @@ def test_lattice_links(spark):
     assert blocks == {i: r["n_links"] for i, r in got.items()}  # cut into blocks or not
 
 
+def test_lattice_links_of_awkward_rows(spark):
+    rng = np.random.default_rng(11)
+    v, w = rng.standard_normal(16), rng.standard_normal(16)
+    near = v + 0.001 * rng.standard_normal(16)
+    rows = [(1, v), (1, v), (2, v), (3, v * 1e200), (4, near * 1e-200), (5, near * 1e-310), (6, w), (6, v * 2), (7, w), (None, w), (None, v), (None, v), (8, rng.standard_normal(16)), (6, None)]
+    df = spark.createDataFrame([(i, None if x is None else [float(c) for c in x], "a") for i, x in rows], "vec_id long, embedding array<double>, label string")
+    got = [tuple(r) for r in lattice_links.lattice_links(df, work_dir(spark, "t2")).collect()]
+    # vectors like v: ids 1 to 6 and two rows without an id; like w: 6, 7 and one without an id
+    want = [(1, 7, 1, True)] * 2 + [(i, 7, 1, False) for i in (2, 3, 4, 5)] + [(6, 2, 1, False), (6, 7, 1, False), (7, 2, 1, False), (None, 2, None, True), (None, 7, None, True), (None, 7, None, True), (8, 0, 8, True), (6, 0, 1, False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert lattice_links.lattice_links(df.limit(0), work_dir(spark, "t2")).count() == 0
+    once = {r["vec_id"]: tuple(r) for r in lattice_links.lattice_links(df.where("vec_id in (2, 3, 8)"), work_dir(spark, "t2")).collect()}
+    assert once == {2: (2, 1, 2, True), 3: (3, 1, 2, False), 8: (8, 0, 8, True)}
+
+
 def test_lattice_recall_and_decoding():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((200, 8)) * 2
@@ -302,6 +329,13 @@ def test_chats(spark):
     assert chat_collapse.format_chats(df.limit(0), work_dir(spark, "t6")).count() == 0
 
 
+def test_chats_with_ties_and_long_texts(spark):
+    rows = [(1, 1, "user", t) for t in ("c", "a", "b")] + [(2, 1, "user", "x" * 300_000 + e) for e in ("2", "1")] + [(3, 1, "user", t) for t in ("a", "b", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["text"] for r in chat_collapse.format_chats(df, work_dir(spark, "t6")).collect()}
+    assert got[1] == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in "abc") and set(got) == {1, 2} and len(got[2]) > 600_000
+
+
 # op7
 
 
@@ -401,6 +435,62 @@ def test_languages(spark):
     assert {r["lang"] for r in language_id.identify(df, blank, work_dir(spark, "t8"), "doc_id", F.col("text"), F.col("declared"), F.col("host")).collect()} == {"und"}
 
 
+def plain_languages(model, rows):
+    """identify() by dictionaries: rows of (id, text, declared, host)."""
+    own = []
+    for _, text, _, _ in rows:
+        e = model.evidence(pa.array([text or ""], pa.string()))[0]
+        q = np.exp(e) / np.exp(e).sum()
+        own.append(np.where(e > -language_id.MOST_EVIDENCE, q, 0.0) if e.any() else np.zeros(len(e)))
+
+    def keys(host, declared):
+        if host is None or host.replace(".", "").isdigit() or host.startswith("["):
+            return [None, None, host, declared]
+        return [host.split(".")[-1], ".".join(host.split(".")[-2:]), host, declared]
+
+    sums, everything = [{}, {}, {}, {}], np.sum(own, 0)
+    for (_, _, declared, host), q in zip(rows, own):
+        for level, k in enumerate(keys(host, declared)):
+            if k:
+                sums[level][k] = sums[level].get(k, 0) + q
+    out = []
+    for (i, text, declared, host), q in zip(rows, own):
+        prior = (everything - q + 1) / (everything.sum() - q.sum() + len(q))
+        for level, k in list(enumerate(keys(host, declared)))[:3]:
+            c = np.maximum(sums[level].get(k, np.zeros(len(q))) - q, 0) if k else np.maximum(-q, 0)
+            prior = (c + language_id.KAPPA * prior) / (c.sum() + language_id.KAPPA)
+        p = prior.copy()
+        if declared:
+            p = p * (np.maximum(sums[3].get(declared, 0) - q, 0) + 0.05) / (everything + 1)
+        if q.any():
+            p = p * np.maximum(q, q.max() * np.exp(-language_id.MOST_EVIDENCE))
+        p = p / p.sum()
+        known = q.any() or declared is not None or host is not None
+        best = int(p.argmax())
+        out.append((i, model.classes[best] if known and p[best] > language_id.LEAST else "und"))
+    return out
+
+
+def test_languages_like_a_plain_version(spark):
+    docs = table(spark, "documents")
+    model = language_id.fit(docs.where("doc_id % 4 = 0"))
+    r = random.Random(3)
+    hosts = ["a.example.de", "b.example.de", "c.example.fr", "10.0.0.1", None]
+    rows = [(i, (x["text"] or "")[: r.choice([0, 3, 12, 40, 400])], r.choice([x["lang"], x["lang"], "en", None]), r.choice(hosts)) for i, x in enumerate(docs.collect())]
+    rows += rows[:5] + [(None, None, None, None), (900, "12 345 $$$ ###", None, None), (901, "x" * 200_000, "de", None), (902, "qzxj kvqj wzzx qqxz jjvk zxqv " * 20, "de", hosts[0])]
+    df = spark.createDataFrame([(*x, "c", 1) for x in rows], "doc_id long, text string, declared string, host string, domain string, j int")
+    got = [(x["doc_id"], x["lang"]) for x in language_id.identify(df, model, work_dir(spark, "t8"), "doc_id", F.col("text"), F.col("declared"), F.col("host")).collect()]
+    assert sorted(got, key=str) == sorted(plain_languages(model, rows), key=str)
+    assert dict(got)[902] == "und" and dict(got)[None] == "und"
+
+
+def test_hosts(spark):
+    urls = {"http://User:pw@Shop.Example.com:8080/x": ("shop.example.com", "com", "example.com"), "http://10.0.0.1/": ("10.0.0.1", None, None), "http://[::1]:80/": ("[::1]", None, None), "http://a.fr./": ("a.fr", "fr", "a.fr"), "http://:80/": (None, None, None)}
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", language_id.bare_host(F.regexp_extract("u", r"(?s)^.*?://([^/?#]*)", 1)).alias("h"))
+    suffix, domain = language_id.suffix_and_domain(F.col("h"))
+    assert {r["u"]: (r["h"], r["s"], r["d"]) for r in df.select("u", "h", suffix.alias("s"), domain.alias("d")).collect()} == urls
+
+
 def test_pages_are_read_as_text(spark):
     pages = spark.createDataFrame([(1, "https://a.b.fr/x", "<HTML data-x=1 LANG='fr-CA'><script>var der = 1</script><p>le la&nbsp;les</p><!-- und -->"), (2, None, None)], "page_id long, url string, html string")
     row = pages.select("page_id", language_id.page_text(F.col("html")).alias("t"), language_id.declared_language(F.col("html")).alias("d")).orderBy("page_id").collect()

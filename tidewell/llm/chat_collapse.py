@@ -8,7 +8,7 @@ keys, so a first turn that millions share is one row. Places and sums of one con
 partition and then added over the partitions it spans: a conversation of any length is never in one task.
 
 Defined results: rows equal in all four columns are one turn; turns are in the order of turn (null first), role, and
-the hash of the text; a null role is `unknown`, a null text is empty; rows without conv_id are one conversation with
+text (its first TIE_CHARACTERS characters, then its hash); a null role is `unknown`, a null text is empty; rows without conv_id are one conversation with
 a null id. Other columns are ignored.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.shared import pick, stored
 
 PART_TURNS = 256
+#: Characters that put turns of one place and role in order; they move with the narrow rows.
+TIE_CHARACTERS = 64
 #: How a turn is written.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -36,9 +38,9 @@ def _turns(df: DataFrame) -> DataFrame:
 
 def placed(turns: DataFrame, work: str) -> DataFrame:
     """Distinct turns without their text: conv_id, turn, role, h (hash of text), place (from 1), size, p1, p2 (prefix hash)."""
-    narrow = turns.select("conv_id", "turn", "role", F.xxhash64("text", F.lit(1)).alias("h"), F.xxhash64(F.lit(2), "text", "role").alias("h2")).distinct()
-    keys = ["conv_id", "turn", "role", "h", "h2"]
-    ordered = stored(narrow.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), f"{work}/ordered")
+    narrow = turns.select("conv_id", "turn", "role", F.left("text", F.lit(TIE_CHARACTERS)).alias("tie"), F.xxhash64("text", F.lit(1)).alias("h"), F.xxhash64(F.lit(2), "text", "role").alias("h2")).distinct()
+    keys = ["conv_id", "turn", "role", "tie", "h", "h2"]
+    ordered = stored(narrow.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()).drop("tie"), f"{work}/ordered")
     ordered = ordered.withColumn("range", F.shiftright("at", 33))
 
     # places: the rows of a conversation are together within a range, and ranges are in order

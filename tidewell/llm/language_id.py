@@ -13,9 +13,14 @@ Every language in the labels has a model. It is fitted on a bounded sample, SAMP
 a language without such texts is fitted on up to SAMPLE shorter and LONG longer ones, whole. Posteriors are stored
 sparsely: languages that are MOST_EVIDENCE behind the best one are left out and put back when evidence is fused.
 
+One more class stands for text of no language that has a model: any trigram is as likely there as another. A text that
+fits no model, be it symbols or another language, is of that class whatever it declares.
+
 Defined results: a text without trigrams is judged by the other evidence; missing evidence of any kind says nothing;
 a text with no evidence at all has the language `und` and confidence 0, as has one whose best language is no better
-than LEAST. Ids may repeat or be null; every row gets a result.
+than LEAST or is the class of no language. Ids may repeat or be null; every row gets a result. Texts are read whole, however
+long; columns of other names than those given are ignored. Hosts count without user and port, and addresses in numbers
+have no suffix.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from tidewell.llm.shared import pick, stored, text_slices
 SAMPLE, SAMPLE_BYTES, LONG = 300, 20_000, 20
 BITS, SMOOTH, TEMPER, MOST_EVIDENCE = 16, 0.3, 0.25, 60.0
 KAPPA, LEAST = 5.0, 0.5
+#: Fixed value: what text that fits no model, or has no evidence, is called.
+NONE = "und"
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,29 +68,31 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Log-probabilities of hashed trigrams for each language."""
+    """Log-probabilities of hashed trigrams for each language, and for text of none, of which any is as likely as another."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         """From the trigrams of each language and how often each is."""
-        self.languages = sorted(counts)
-        self.table = np.zeros((1 << BITS, len(self.languages)), np.float32)
+        self.languages = names = sorted(set(counts) - {NONE})
+        self.classes = [*names, NONE] if names else []
+        self.table = np.zeros((1 << BITS, len(self.classes)), np.float32)
         mean = np.zeros(1 << BITS)
-        for j, l in enumerate(self.languages):
+        for j, l in enumerate(names):
             count = np.full(1 << BITS, SMOOTH)
             count[counts[l][0]] += counts[l][1]
             logs = np.log(count / count.sum())
-            mean += logs / len(self.languages)
+            mean += logs / len(names)
             self.table[:, j] = logs
+        self.table[:, len(names) :] = -np.log(1 << BITS)
         self.table -= mean[:, None].astype(np.float32)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Tempered log-likelihoods up to a constant for each text, at most MOST_EVIDENCE apart from the best."""
         code, at = grams(texts)
         n = len(at) - 1
-        out = np.zeros((n, len(self.languages)))
+        out = np.zeros((n, len(self.classes)))
         some = np.flatnonzero(np.diff(at))
         if len(some):
-            for j in range(len(self.languages)):
+            for j in range(len(self.classes)):
                 out[some, j] = np.add.reduceat(self.table[code, j].astype(np.float64), at[:-1][some])
         out *= TEMPER
         return np.maximum(out - out.max(1, keepdims=True, initial=-np.inf), -MOST_EVIDENCE) if out.shape[1] else out
@@ -130,9 +139,16 @@ def fit(labelled: DataFrame, text_column: str = "text", language_column: str = "
     return Model({l: (codes[order[a:b]], counts[order[a:b]]) for l, a, b in zip(names.dictionary.to_pylist(), cuts[:-1], cuts[1:])})
 
 
+def bare_host(authority: Column) -> Column:
+    """A host in lower case without user, port and last dot; null if nothing is left."""
+    host = F.regexp_replace(F.regexp_replace(F.lower(authority), r"(?s)^.*@", ""), r"\.?(:[0-9]*)?$", "")
+    return F.nullif(host, F.lit(""))
+
+
 def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """The last label of a host, and its last two."""
-    return F.element_at(F.split(host, r"\."), -1), F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
+    """The last label of a host, and its last two; null for addresses in numbers."""
+    number = host.rlike(r"^([0-9.]+|\[.*\])$")
+    return F.when(~number, F.element_at(F.split(host, r"\."), -1)), F.when(~number, F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0))
 
 
 def _spread(lists: pa.Array, width: int) -> np.ndarray:
@@ -168,8 +184,8 @@ def identify(df: DataFrame, model: Model, work: str, id_column: str, text: Colum
 
     The result has one row for each row of df; ids need not be unique.
     """
-    languages = model.languages
-    width = len(languages)
+    classes = model.classes
+    width = len(classes)
     held = df.sparkSession.sparkContext.broadcast(model)
     id_type = dict(df.dtypes)[id_column]
 
@@ -187,8 +203,8 @@ def identify(df: DataFrame, model: Model, work: str, id_column: str, text: Colum
 
     rows = df.select(pick(df, id_column)[0].alias("id"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), F.lower(declared.cast("string")).alias("declared"), host.cast("string").alias("host"))
     read = rows.mapInArrow(run, f"id {id_type}, declared string, host string, own array<struct<j: int, q: double>>")
-    if not languages:
-        return read.select(F.col("id").alias(id_column), F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), "declared")
+    if not classes:
+        return read.select(F.col("id").alias(id_column), F.lit(NONE).alias("lang"), F.lit(0.0).alias("confidence"), F.lit(NONE).alias("text_lang"), "declared")
     suffix, domain = suffix_and_domain(F.col("host"))
     seen = stored(read.select("id", "declared", "host", F.nullif(domain, F.lit("")).alias("domain"), F.nullif(suffix, F.lit("")).alias("suffix"), "own"), f"{work}/evidence")
 
@@ -204,7 +220,7 @@ def identify(df: DataFrame, model: Model, work: str, id_column: str, text: Colum
         out = out.join(sums.groupBy(key).agg(F.collect_list(F.struct("j", "q")).alias(f"of_{key}")), key, "left")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = np.array([*languages, "und"], object)
+        named = np.array([*classes, NONE], object)
         step = max(1, 500_000 // width)
         for batch in batches:
             for start in range(0, batch.num_rows, step):
@@ -214,7 +230,7 @@ def identify(df: DataFrame, model: Model, work: str, id_column: str, text: Colum
                 heard = own.any(1)
                 logs = _fused(own, levels, said, declares, everything)
                 c = np.where(heard | declares | hosted, 1.0 / np.exp(logs - logs.max(1, keepdims=True)).sum(1), 0.0)
-                sure = c > LEAST
+                sure = (c > LEAST) & (logs.argmax(1) < width - 1)
                 lang, by_text = named[np.where(sure, logs.argmax(1), width)], named[np.where(heard, own.argmax(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(np.where(sure, c.round(6), 0.0)), pa.array(by_text, pa.string()), part.column(1)], ["id", "lang", "confidence", "text_lang", "declared"])
 
@@ -236,5 +252,5 @@ def declared_language(html: Column) -> Column:
 def identify_pages(pages: DataFrame, model: Model, work: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """identify() for web pages: text and declared language from the markup, host from the address."""
     url, html = pick(pages, url_column, html_column)
-    host = F.nullif(F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
+    host = bare_host(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
     return identify(pages, model, work, id_column, page_text(html), declared_language(html), host)

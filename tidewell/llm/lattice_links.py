@@ -5,7 +5,7 @@ that point is the vector's cell. Besides its own cell a vector probes two neighb
 vectors of either kind (two units, or eight halves) that lean most towards where the vector lies in its cell. Two vectors meet in a
 table if they share a cell or one probes the other's; those that meet are compared by cosine in double precision.
 
-Equal vectors of a label are one class and go on as one with their number. The cells of a pair are known from both
+Equal vectors of a label are one class and go on as one with the number of their ids. The cells of a pair are known from both
 vectors' codes, so a pair that meets more than once counts in the first place only: counts add up without a list of
 pairs. A cell with many vectors is cut into blocks of BLOCK, and each pair of blocks is a task of its own, which
 returns a row for each vector: how many it is linked with, and the smallest of its component in these blocks.
@@ -63,9 +63,15 @@ def neighbours(x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell + two, cell + half
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near one: exact, and squares cannot overflow or vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
 def codes(vectors: np.ndarray, tables: int = TABLES, scale: float = SCALE) -> np.ndarray:
     """For each vector and table: hashes of its own cell and of the cells it probes, (n, tables * (1 + PROBES))."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = scaled(vectors)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     out = np.zeros((len(unit), tables * (1 + PROBES)), np.int64)
     for t in range(tables):
         directions = np.random.Generator(np.random.PCG64([20240229, unit.shape[1], t])).standard_normal((unit.shape[1], 8))
@@ -114,6 +120,7 @@ def _compared(block: pa.Table) -> pa.Table:
     code = np.concatenate([np.asarray(c.flatten()) for c in block.column("codes").chunks]).reshape(len(rep), -1)
     order = np.argsort(rep, kind="stable")
     rep, n, side, home, x, code = rep[order], n[order], side[order], home[order], x[order], code[order]
+    x = scaled(x)
     a = np.arange(len(rep)) if inner else np.flatnonzero(side == low[0])
     b = a if inner else np.flatnonzero(side == high[0])
     length = np.sqrt((x * x).sum(1))
@@ -158,15 +165,21 @@ def lattice_links(df: DataFrame, work: str, id_column: str = "vec_id", vector_co
     """For each row: id, n_links (other vectors linked directly), component_id (the smallest id reachable) and kept.
 
     Vectors are compared only if their labels are equal and not null and they have as many components. Vectors that are
-    null, empty, zero, or hold null or non-finite components are linked with nothing. Rows with equal ids are one node;
-    a row with a null id counts as a link of others but has no component of its own.
+    null, empty, zero, or hold null or non-finite components are linked with nothing; their size does not matter else.
+    Repeated rows (id, label and vector) are one vector and get equal results. An id with several vectors is one node, which has
+    the links of all of them; n_links is each vector's own. A row with a null id counts as a link of others, each
+    such row as one, and links others with each other, but has no component of its own and is kept.
     """
     rows = df.select(*[c.alias(x) for c, x in zip(pick(df, id_column, vector_column, label_column), ("id", "x", "label"))]).select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), "label")
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     valid = F.coalesce(F.col("label").isNotNull() & F.col("x").isNotNull() & fine, F.lit(False))
     flagged = rows.withColumn("valid", valid)
-    classes = stored(flagged.where("valid").groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("n")), f"{work}/classes")
-    reps = stored(_coded(classes.where("rep is not null").select("rep", "label", "n", "x")), f"{work}/reps")
+    # an equal vector's rows, and then its ids, are added up before vectors are dealt
+    by_id = flagged.where("valid").groupBy("label", "x", "id").agg(F.count("*").alias("rows"))
+    weight = F.when(F.col("id").isNull(), F.col("rows")).otherwise(1)
+    classes = by_id.groupBy("label", "x").agg(F.min("id").alias("least"), F.sum(weight).alias("n"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), f"{work}/classes")
+    reps = stored(_coded(classes.select("rep", "label", "n", "x")), f"{work}/reps")
 
     posted = reps.select("rep", F.posexplode("codes").alias("at", "code"), "label", F.size("x").alias("d"))
     posted = posted.select("rep", F.xxhash64("code", "label", "d", F.floor(F.col("at") / (1 + PROBES))).alias("key"), F.floor(F.col("at") / (1 + PROBES)).cast("int").alias("t"), (F.col("at") % (1 + PROBES) == 0).alias("home"))
@@ -176,10 +189,20 @@ def lattice_links(df: DataFrame, work: str, id_column: str = "vec_id", vector_co
     held = dealt.join(reps.select("rep", "n", "x", "codes"), "rep")
     found = stored(held.groupBy("key", "i", "j").applyInArrow(_compared, "rep long, links long, root long"), f"{work}/found")
 
-    components = connected(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")), f"{work}/graph")
+    edges = found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    ids = flagged.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    repeated = not ids.isEmpty()
+    if repeated:  # the vectors of one id are one node
+        of_ids = flagged.where("valid").join(ids, "id").select("id", "label", "x").distinct().join(classes, ["label", "x"]).select("id", "rep")
+        edges = edges.union(of_ids.join(of_ids.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")))
+    graph = connected(edges, f"{work}/graph").select(F.col("node").alias("rep"), F.col("component").alias("root"))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.join(counted, "rep", "left").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.select("label", "x", F.lit(True).alias("valid"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = flagged.join(named, ["label", "x", "valid"], "left")
-    out = out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    named = stored(classes.join(counted, "rep", "left").join(graph, "rep", "left").select("label", "x", "least", "n", "links", F.coalesce("root", "rep").alias("root")), f"{work}/named")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = named.join(smallest, "root").select("label", "x", F.lit(True).alias("valid"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
+    out = flagged.join(named, ["label", "x", "valid"], "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    if repeated:  # rows of an id that are no vectors belong to its component too
+        out = stored(out, f"{work}/rows")
+        out = out.drop("component_id").join(out.groupBy("id").agg(F.min("component_id").alias("component_id")), "id", "left")
+    out = out.select(F.col("id").alias(id_column), "n_links", "component_id")
     return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))

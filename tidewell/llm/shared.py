@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewell.folders import work_dir
 
-__all__ = ["connected", "new_file", "open_file", "pick", "remove", "restricted", "stored", "text_slices", "trim", "work_dir"]
+__all__ = ["connected", "file_folder", "new_file", "open_file", "pick", "remove", "restricted", "stored", "text_slices", "trim", "work_dir"]
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -31,11 +31,31 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Schemes that Hadoop and pyarrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file", "abfss": "abfs", "abfs": "abfs"}
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    scheme, _, path = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + path.lstrip("/")
     if "://" not in uri:
-        uri = uri.removeprefix("file:")
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+        raise ValueError(f"{uri} names no store; qualify it first")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{path}")
+
+
+def file_folder(spark: SparkSession, folder: str) -> str:
+    """A folder for files that executors write themselves, with its store: what names none is in the default file system, as
+    for Spark's own files. A store that Python cannot open is refused here, before anything is written."""
+    uri = folder
+    if "://" not in folder and not folder.startswith("file:"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    try:
+        _filesystem(uri)
+    except Exception as error:
+        raise ValueError(f"files cannot be written to {uri} from Python ({error}); name a folder of another store in spark.checkpoint.dir") from error
+    return uri
 
 
 @contextmanager
@@ -130,3 +150,8 @@ def connected(edges: DataFrame, work: str) -> DataFrame:
             out = stored(out, f"{work}/r{k}")
     named = out.groupBy("root").agg(F.min("node").alias("component"))
     return stored(out.join(named, "root").select("node", "component"), f"{work}/components")
+
+
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """For this session, rows go to Python and back in batches of so many bytes: for jobs in which many operators use the same workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.bpe_trie import UNSAFE_PIECE
-from tidewell.llm.shared import new_file, open_file, pick, stored, text_slices
+from tidewell.llm.shared import file_folder, new_file, open_file, pick, stored, text_slices
 
 MAGIC = b"TWPACK01"
 BLOCK_IDS = 1 << 16
@@ -272,6 +272,7 @@ def write_packed(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_co
     streams its range into one file. A task that runs again writes another file, and the table names the one that
     counts. Null ids come first, null texts count as empty, repeated rows are kept, other columns are ignored.
     """
+    folder = file_folder(df.sparkSession, folder)
     rows = df.select(*[c.alias(n) for c, n in zip(pick(df, id_column, text_column), ("id", "text"))]).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
 

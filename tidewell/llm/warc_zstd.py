@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import new_file, open_file, pick, stored
+from tidewell.llm.shared import file_folder, new_file, open_file, pick, stored
 
 #: The frame that holds a dictionary, and the profile of records that repeat a payload.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -114,6 +114,7 @@ def write_warc(df: DataFrame, folder: str, id_column: str = "page_id", url_colum
     refer to a row that has one, or are written whole. A task that runs again writes another archive, and the index,
     which is a stored table, names the one that counts.
     """
+    folder = file_folder(df.sparkSession, folder)
     rows = df.select(*[c.alias(n) for c, n in zip(pick(df, id_column, url_column, payload_column), ("id", "url", "payload"))]).select(
         F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("payload").cast("string").cast("binary"), F.lit(b"")).alias("payload")
     )
