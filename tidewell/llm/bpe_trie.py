@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import pick, text_slices
+from tidewell.llm.shared import pick, text_slices, trim
 
 #: The pattern of words and the characters that stand for bytes in byte-level BPE vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,6 +76,7 @@ class TrieBPE:
         self.token = {b: i for b, i in raw.items() if len(b) == 1 or i in self.parts}
         self.longest = max(map(len, self.token))
         self._follows: dict[int, bool] = {}
+        self._whole: dict[int, bool] = {}
         self._words = regex.compile(WORDS)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -143,10 +144,12 @@ class TrieBPE:
             path = word
         return out
 
-    @lru_cache(maxsize=200_000)  # noqa: B019  one object for each worker
     def whole(self, t: int) -> bool:
         """Whether a token's own bytes encode to it."""
-        return self.merged([self.token[bytes([c])] for c in self.bytes_of[t]]) == [t]
+        known = self._whole.get(t)
+        if known is None:
+            known = self._whole[t] = self.merged([self.token[bytes([c])] for c in self.bytes_of[t]]) == [t]
+        return known
 
     def words_of(self, text: str) -> list[str]:
         return self._words.findall(text)
@@ -230,19 +233,20 @@ def tokenizer(path: str) -> TrieBPE:
     return TrieBPE(path)
 
 
-def encode_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, spare: bool = False) -> DataFrame:
     """Encode every text and decode the ids again.
 
     Returns the id, n_tokens, ids_sha256 (hex of the decimal ids joined by commas) and decoded_sha256 (hex of the
     decoded text in UTF-8); with_ids adds the ids themselves. One pass over the rows, no shuffle; memory is
-    bounded by slices of 10 MB of text, or one text that is longer. Null texts count as empty; other columns are ignored.
+    bounded by slices of 10 MB of text, or one text that is longer. spare is for workers that other operators use too: slices
+    of 3 MB, and what a task has learnt is given back at its end. Null texts count as empty; other columns are ignored.
     """
     schema = f"id {dict(df.dtypes)[id_column]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(vocabulary)
+        bpe = TrieBPE(vocabulary) if spare else tokenizer(vocabulary)
         for batch in batches:
-            for part in text_slices(batch, most_bytes=10 << 20):
+            for part in text_slices(batch, most_bytes=(3 if spare else 10) << 20):
                 ids, at = bpe.encode_slice(part.column(1))
                 hashed, decoded = [], []
                 ends = at.tolist()
@@ -256,6 +260,8 @@ def encode_decode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", tex
                     columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        del bpe
+        trim()
 
     out = df.select(*[c.alias(n) for c, n in zip(pick(df, id_column, text_column), ("id", "text"))]).mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_column), *[c for c in out.columns if c != "id"])
