@@ -63,3 +63,59 @@ def test_evolution_and_checks(spark, lake):
         Table(spark, f"{lake}/u").create(one.schema, partition_by="k")
     with pytest.raises(ConfigError):
         Table(spark, f"{lake}/u").create(one.schema, key=["none"])
+
+
+def merged_days(spark, lake, zone):
+    """One key per day near midnight, merged with a later time of the same day."""
+    import os
+    import time
+
+    old = os.environ.get("TZ")
+    os.environ["TZ"] = zone
+    time.tzset()
+    try:
+        t = Table(spark, f"{lake}/{zone}")
+        sql = "select id as k, timestamp'2024-03-01 00:30:00' + make_dt_interval(cast(id as int)) + make_dt_interval(0, {h}) as at, '{v}' as v from range(20)"
+        rows = spark.sql(sql.format(h=0, v="old"))
+        t.append(t.stage(rows, t.create(rows.schema, key=["k"], partition_by="at")))
+        new = spark.sql(sql.format(h=23, v="new")).where("k between 5 and 9")
+        t.merge(t.stage(new, t.manifest()), ["k", "at", "v"], ["k"], "at", prune="at")
+        return sorted((r["k"], r["v"]) for r in t.read().collect())
+    finally:
+        os.environ.pop("TZ") if old is None else os.environ.update(TZ=old)
+        time.tzset()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/Los_Angeles"])
+def test_pruned_merges_do_not_hang_on_the_drivers_time_zone(spark, lake, zone):
+    got = merged_days(spark, lake, zone)
+    # the window begins at 23:30 of the first new day, so that day's old row is outside it
+    assert [k for k, v in got if v == "new"] == [5, 6, 7, 8, 9] and [k for k, v in got if v == "old"] == [0, 1, 2, 3, 4, 5, *range(10, 20)]
+
+
+def test_a_manifest_that_is_cut_off_is_no_commit(spark, lake):
+    t = Table(spark, f"{lake}/t")
+    rows = spark.range(3)
+    t.append(t.stage(rows, t.create(rows.schema)))
+    number = t.manifest().number
+    t.files._write(*t.files._at(f"{lake}/t/_commits/{number + 1:012d}.json"), '{"number": 3, "par')
+    assert t.count() == 3
+    t.append(t.stage(rows, t.manifest()))
+    assert t.count() == 6 and t.manifest().number == number + 1
+    assert not [n for n in t.files.names(f"{lake}/t/_commits") if n.endswith(".tmp")]
+
+
+def test_a_merge_that_loses_leaves_nothing(spark, lake):
+    t = Table(spark, f"{lake}/t")
+    rows = spark.range(5).withColumnRenamed("id", "k")
+    t.append(t.stage(rows, t.create(rows.schema, key=["k"])))
+    parts = t.stage(rows, t.manifest())
+    before = set(t.files.names(f"{lake}/t/data"))
+    commit = t._commit
+    t._commit = lambda *a, **b: (_ for _ in ()).throw(CommitConflict("lost"))
+    with pytest.raises(CommitConflict):
+        t.merge(parts, ["k"], ["k"])
+    t._commit = commit
+    assert set(t.files.names(f"{lake}/t/data")) == before and t.count() == 5
+    t.discard(parts)
+    assert len(t.files.names(f"{lake}/t/data")) == 1

@@ -308,3 +308,30 @@ def test_progress_errors_do_not_stop_a_run(spark, tmp_path, lake):
 
     tw.sync(tw.Parquet(str(tmp_path)), tw.Lake(lake), "t", spark=spark, source_table="src", on_progress=shows)
     assert seen == [10]
+
+
+def test_bytes_written_are_those_of_the_files(spark, tmp_path, lake):
+    write(spark, tmp_path, rows(1, 11))
+    done = tw.sync(tw.Parquet(str(tmp_path)), tw.Lake(lake), "t", spark=spark, source_table="src")
+    import os
+
+    files = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(f"{lake}/t/data") for f in names if f.endswith(".parquet")]
+    assert 0 < sum(files) <= done.bytes_written <= 2 * sum(files) + 1000
+
+
+def test_job_files_say_what_is_wrong(tmp_path, monkeypatch):
+    from tidewell.cli import Job
+    from tidewell.errors import ConfigError
+
+    monkeypatch.delenv("NO_SUCH_NAME", raising=False)
+    job = tmp_path / "job.toml"
+    tail = "[target]\ntype = 'lake'\npath = '/x'\n[sync]\n"
+    for text, says in (("[source]\ntype='parquet'\npath='${NO_SUCH_NAME}'\n" + tail, "NO_SUCH_NAME"), ("[source]\ntype='parquet'\npth='x'\n" + tail, "has no field pth"), ("[source]\n" + tail, "type is missing"), ("[source]\n", r"\[target\], \[sync\]"), ("= 1", "cannot be read")):
+        job.write_text(text)
+        with pytest.raises(ConfigError, match=says):
+            Job.read(str(job))
+    with pytest.raises(ConfigError, match="cannot be read"):
+        Job.read(str(tmp_path / "none.toml"))
+    job.write_text("[source]\ntype='parquet'\npath='a'\n[target]\ntype='lake'\npath='/x'\n[target.archive]\npath='/y'\n[sync]\ndest_table='t'\n")
+    made = Job.read(str(job))
+    assert made.target.archive.path == "/y" and made.settings == {"dest_table": "t"}

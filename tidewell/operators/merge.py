@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.errors import ConfigError
 
-#: A staged side up to this many bytes (by the optimizer's estimate) is looked up in, so the target is not shuffled.
-LOOKUP_BYTES = 64 << 20
 _S, _T, _HIT = "_staged_", "_target_", "_hit_"
 
 
@@ -24,17 +22,24 @@ def deduplicate(df: DataFrame, key: Sequence[str], watermark: str | None = None)
     Rows whose key is null in the same columns count as equal, as a window has it.
     """
     rest = [c for c in df.columns if c not in key and c != watermark]
-    order = ([F.col(q(watermark)).desc_nulls_last()] if watermark in df.columns else []) + [F.col(q(c)).desc_nulls_last() for c in rest]
+    order = [watermark] * (watermark in df.columns and watermark not in key) + rest
     if not order:
         return df.distinct()
-    over = Window.partitionBy(*[F.col(q(k)) for k in key]).orderBy(*order)
-    return df.withColumn("_rank_", F.row_number().over(over)).where("_rank_ = 1").drop("_rank_")
+    # the largest row by these columns, null being smallest: added up before the shuffle, and no sort by them
+    best = F.max(F.struct(*[F.col(q(c)).alias(f"c{i}") for i, c in enumerate(order)])).alias("_best_")
+    kept = df.groupBy(*[F.col(q(k)) for k in key]).agg(best)
+    return kept.select(*[F.col(q(c)) if c in key else F.col(f"_best_.c{order.index(c)}").alias(c) for c in df.columns])
 
 
 def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def lookup_bytes(df: DataFrame) -> int:
+    """A staged side up to this many bytes is looked up in: what Spark sends to all executors, so the target is not shuffled."""
+    return int(str(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
+
+
 def bounds(staged: DataFrame, column: str) -> tuple[object, object]:
     """The smallest and largest value of a column of the rows as staged, before they are deduplicated."""
     row = staged.agg(F.min(q(column)).alias("lo"), F.max(q(column)).alias("hi")).first()
@@ -61,7 +66,7 @@ def upsert(target: DataFrame, staged: DataFrame, key: Sequence[str], watermark:
         raise ConfigError("a merge needs a key")
     s = staged if deduplicated else deduplicate(staged, key, watermark)
     if lookup is None:
-        lookup = estimated_bytes(s) <= LOOKUP_BYTES
+        lookup = estimated_bytes(staged) <= lookup_bytes(staged)
     names = target.columns
     s = s.select(*[F.col(q(c)).alias(_S + c) for c in s.columns], F.lit(True).alias(_HIT))
     on = [F.col(q(k)) == F.col(q(_S + k)) for k in key]
@@ -85,7 +90,8 @@ def upsert(target: DataFrame, staged: DataFrame, key: Sequence[str], watermark:
         return joined.select(*[value(c, inserted) for c in names])
     joined = target.join(s, on, "left" if keep_unmatched else "inner").select(*[value(c) for c in names])
     # the keys of the target that were hit are at most as many as the staged ones
-    keys = target.select(*[F.col(q(k)) for k in key]).join(s.select(*[F.col(q(_S + k)) for k in key]), on, "left_semi").distinct()
+    wanted = staged.select(*[F.col(q(k)).alias(_S + k) for k in key])
+    keys = target.select(*[F.col(q(k)) for k in key]).join(wanted, on, "left_semi").distinct()
     fresh = s.join(keys, on, "left_anti")
     kinds = dict(target.dtypes)
     return joined.unionByName(fresh.select(*[(F.col(q(_S + c)) if c in have else F.lit(None).cast(kinds[c])).alias(c) for c in names]))

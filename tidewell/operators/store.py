@@ -2,13 +2,14 @@
 
 A manifest lists the parts that make up the table. A commit writes the manifest of the next number, which fails if that
 number is taken: readers see the old table until then and the whole new one after, and of two writers one has to try
-again. A commit can take over parts of the manifest before, so an append, or a merge into a few partitions, writes
+again. A manifest is written under another name and then given its own, so none is ever seen in part. A commit can take over parts of the manifest before, so an append, or a merge into a few partitions, writes
 only what is new. Parts that no manifest names any more are removed after a later commit.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Sequence
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.errors import CommitConflict, ConfigError
-from tidewell.operators.merge import bounds, deduplicate, in_window, last_version, merge, q, upsert
+from tidewell.operators.merge import deduplicate, in_window, last_version, merge, q, upsert
 from tidewell.plans.projection import missing
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+#: Schemes of stores that have no renaming.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "abfs", "abfss", "wasb", "oss")
 
 
 @dataclass(frozen=True)
@@ -55,15 +58,44 @@ class Files:
     """The few file operations a commit needs, of any Hadoop file system."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.conf), p
 
     def create(self, path: str, text: str) -> bool:
-        """Write a new file; False if there is one."""
+        """Write a new file, which appears whole or not at all; False if there is one.
+
+        A local file is linked to its name and others are renamed without overwriting. In object stores, where a file appears
+        when it is closed and renaming is a copy, it is created there at once; whether two writers can collide there is
+        up to the store's conditional writes.
+        """
         fs, p = self._at(path)
+        scheme = fs.getUri().getScheme()
+        if scheme in OBJECT_STORES:
+            return self._write(fs, p, text)
+        temporary = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}.tmp")
+        self._write(fs, temporary, text)
+        try:
+            if scheme == "file":
+                own, wanted = (fs.makeQualified(x).toUri().getPath() for x in (temporary, p))
+                os.link(own, wanted)
+                return True
+            context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
+            # py4j passes variable arguments as an array; an empty one never overwrites
+            context.rename(fs.makeQualified(temporary), fs.makeQualified(p), self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except FileExistsError:
+            return False
+        except Exception as error:  # noqa: BLE001  py4j wraps the exception
+            if "exist" in str(error).lower() and fs.exists(p):
+                return False
+            raise
+        finally:
+            fs.delete(temporary, False)
+
+    def _write(self, fs, p, text: str) -> bool:
         try:
             out = fs.create(p, False)
         except Exception as error:  # noqa: BLE001  py4j wraps the exception, whose class depends on the file system
@@ -74,6 +106,11 @@ class Files:
         out.close()
         return True
 
+    def size(self, path: str) -> int:
+        """Bytes of a folder's files."""
+        fs, p = self._at(path)
+        return int(fs.getContentSummary(p).getLength())
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         stream = fs.open(p)
@@ -101,9 +138,17 @@ class Table:
 
     def manifest(self) -> Manifest | None:
         names = [n for n in self.files.names(f"{self.path}/_commits") if n.endswith(".json") and not n.startswith(".")]
-        if not names:
+        for name in reversed(names):
+            if (found := self._parsed(name)) is not None:
+                return found
+        return None
+
+    def _parsed(self, name: str) -> Manifest | None:
+        """A manifest by its file's name; None if the file is cut off, which only a writer of another kind can leave."""
+        try:
+            raw = json.loads(self.files.read(f"{self.path}/_commits/{name}"))
+        except json.JSONDecodeError:
             return None
-        raw = json.loads(self.files.read(f"{self.path}/_commits/{names[-1]}"))
         return Manifest(**{**raw, "parts": tuple(Part(**p) for p in raw["parts"]), "key": tuple(raw["key"]), "order_by": tuple(raw["order_by"])})
 
     def exists(self) -> bool:
@@ -112,9 +157,14 @@ class Table:
     def _commit(self, base: Manifest | None, **change) -> Manifest:
         number = (base.number if base else 0) + 1
         new = Manifest(**{**(asdict(base) if base else {}), "parts": base.parts if base else (), **change, "number": number})
-        if not self.files.create(f"{self.path}/_commits/{number:012d}.json", json.dumps(asdict(new))):
-            raise CommitConflict(f"{self.path}: another writer committed number {number} first")
-        return new
+        name = f"{number:012d}.json"
+        for last in (False, True):
+            if self.files.create(f"{self.path}/_commits/{name}", json.dumps(asdict(new))):
+                return new
+            if last or self._parsed(name) is not None:
+                break
+            self.files.delete(f"{self.path}/_commits/{name}")  # cut off: it was never a commit
+        raise CommitConflict(f"{self.path}: another writer committed number {number} first")
 
     def create(self, schema: T.StructType, key: Sequence[str] = (), order_by: Sequence[str] = (), version: str | None = None, engine: str = "MergeTree", partition_by: str | None = None) -> Manifest:
         """An empty table. partition_by: a date or timestamp column, of which each day is a part of its own."""
@@ -211,8 +261,10 @@ class Table:
         keep: tuple[Part, ...] = ()
         touched = base.parts
         if prune is not None and prune == base.partition_by:
-            lo, hi = bounds(staged, prune)
-            first, last = (str(x)[:10] if x is not None else None for x in (lo, hi))
+            # days as the session has them, as parts are named; what is collected is in the driver's time zone
+            day = [f(F.col(q(prune))).cast("date").cast("string") for f in (F.min, F.max)]
+            ends = staged.agg(F.min(q(prune)).alias("lo"), F.max(q(prune)).alias("hi"), day[0].alias("first"), day[1].alias("last")).first()
+            lo, hi, first, last = ends
             touched = tuple(p for p in base.parts if first is not None and p.day is not None and p.day != NULL_PARTITION and first <= p.day <= last)
             keep = tuple(p for p in base.parts if p not in touched)
             target = self._rows(base, touched)
@@ -220,16 +272,22 @@ class Table:
             merged = target.where(~inside).unionByName(upsert(target.where(inside), staged, key, watermark, not delete_stale))
         else:
             merged = merge(self._rows(base, touched), staged, key, watermark, prune, delete_stale)
-        new = self._commit(base, parts=(*keep, *self.stage(merged, base)))
+        return self._swap(base, keep, self.stage(merged, base))
+
+    def _swap(self, base: Manifest, keep: Sequence[Part], fresh: Sequence[Part]) -> Manifest:
+        """Commit kept and fresh parts; fresh ones of a commit that fails are removed."""
+        try:
+            new = self._commit(base, parts=(*keep, *fresh))
+        except BaseException:
+            self.discard(fresh)
+            raise
         self._clean(base, new)
         return new
 
     def compact(self) -> Manifest:
         """Write the last version of each row as one part; rows that others stand for are gone."""
         base = self.manifest()
-        new = self._commit(base, parts=self.stage(self.read(final=True), base))
-        self._clean(base, new)
-        return new
+        return self._swap(base, (), self.stage(self.read(final=True), base))
 
     def _clean(self, old: Manifest, new: Manifest) -> None:
         """Remove parts of the manifest before the old one: readers of the old one may still be at work."""
@@ -244,11 +302,17 @@ class Table:
         self.files.delete(f"{self.path}/_commits/{previous:012d}.json")
 
     def discard(self, parts: Sequence[Part]) -> None:
-        """Remove staged parts that were not committed."""
+        """Remove staged parts that were not committed, with the folders that held them alone."""
         used = {p.path for p in self.manifest().parts}
         for p in parts:
             if p.path not in used:
                 self.files.delete(p.path)
+        folder = lambda path: path.split("/data/", 1)[1][:32]
+        for name in {folder(p.path) for p in parts} - {folder(p) for p in used}:
+            self.files.delete(f"{self.path}/data/{name}")
+
+    def bytes_of(self, parts: Sequence[Part]) -> int:
+        return sum(self.files.size(p.path) for p in parts)
 
 
 def with_retries(action, tries: int = 5):

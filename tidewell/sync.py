@@ -103,6 +103,7 @@ class Run:
         got = seen.get
         n = int(got["_rows"])
         self.rows += n
+        self.bytes += self.table.bytes_of(parts)
         for name in lost:
             if c := int(got[f"_lost_{name}"] or 0):
                 self.coerced[name] = self.coerced.get(name, 0) + c
