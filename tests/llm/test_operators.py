@@ -214,6 +214,16 @@ def test_components_of_chains_in_order(spark):
     assert {tuple(r) for r in got.collect()} == {(i, 1) for i in range(1, 1001)} | {(i, 4000) for i in range(4000, 5000)}
 
 
+@pytest.mark.parametrize("last_edges", [0, 40])
+def test_components_by_rounds_alone_and_to_a_few_edges(spark, last_edges):
+    chain = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(1001, 1200).select(F.col("id").alias("a"), F.lit(1000).cast("long").alias("b"))
+    loops = chain.limit(0).union(spark.createDataFrame([(7, 7), (None, 3), (2000, None)], "a long, b long"))
+    got = connected(chain.union(chain.select("b", "a")).union(star).union(loops), work_dir(spark, "tc"), last_edges)
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(i, 1) for i in range(1, 301)} | {(i, 1000) for i in range(1000, 1200)})
+    assert connected(loops, work_dir(spark, "tc"), last_edges).count() == 0
+
+
 # op3
 
 

@@ -115,20 +115,45 @@ def restricted(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFra
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, ids.columns[0], how)
 
 
-def connected(edges: DataFrame, work: str) -> DataFrame:
+#: What is left of a graph is joined up in one task once it has no more edges than this (0.8 MB).
+LAST_EDGES = 50_000
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, to): the smallest node reachable from each node of the edges (a, b) of all batches."""
+    to: dict[int, int] = {}
+
+    def end(x: int) -> int:
+        while to[x] != x:
+            to[x] = x = to[to[x]]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            to.setdefault(x, x)
+            to.setdefault(y, y)
+            x, y = end(x), end(y)
+            to[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(to), pa.int64()), pa.array([end(x) for x in to], pa.int64())], ["node", "to"])
+
+
+def connected(edges: DataFrame, work: str, last_edges: int = LAST_EDGES) -> DataFrame:
     """Connected components of an undirected graph. edges: (a long, b long). Returns (node, component): the smallest node reachable.
 
     Each round every node points at whichever of itself and its neighbours has the smallest hash, pointers are followed once
     more, and edges are renamed to where their ends point; edges inside a component vanish. The hash is another one each
     round, so whatever the ids, a constant share of the nodes that still have edges is expected to go in each, and rounds
-    grow with the logarithm of the nodes; they go on until no edge is left. Nodes without edges are not in the result.
-    Each round is written to the folder work.
+    grow with the logarithm of the nodes. They go on until at most last_edges are left, which one task joins up: the last rounds
+    would each be several jobs for a handful of edges. Nodes without edges are not in the result. Each round is written to the folder work.
     """
     spark = edges.sparkSession
     e = stored(edges.where("a <> b and a is not null and b is not null").select("a", "b").distinct(), f"{work}/e0")
     maps: list[DataFrame] = []
-    while not e.isEmpty():
+    while n := e.count():
         k = len(maps)
+        if n <= last_edges:
+            maps.append(stored(e.coalesce(1).mapInArrow(_joined_up, "node long, to long"), f"{work}/p{k}"))
+            break
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("m"))
         at = least.select(F.col("a").alias("node"), F.when(F.xxhash64("m", F.lit(k)) < F.xxhash64("a", F.lit(k)), F.col("m")).otherwise(F.col("a")).alias("to"))
@@ -143,6 +168,8 @@ def connected(edges: DataFrame, work: str) -> DataFrame:
         return spark.createDataFrame([], "node long, component long")
     # from the last round, which has the fewest nodes, back to the first; plans stay short
     out = maps[-1].select("node", F.col("to").alias("root"))
+    if n and len(maps) == 1:
+        return out.withColumnRenamed("root", "component")
     for k in reversed(range(len(maps) - 1)):
         nxt = out.select(F.col("node").alias("to"), "root")
         out = maps[k].join(nxt, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
