@@ -568,6 +568,14 @@ def test_near_copies(spark, case):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+@pytest.mark.parametrize("rows", [1, 7, 40])
+def test_near_copies_on_lists_of_many_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_copies, "BLOCK", rows)
+    docs = copies(4, 2, 45, 60, 60)
+    got = near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), work_dir(spark, "t9")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_copies(docs)[1]
+
+
 def test_near_copies_of_awkward_rows(spark, awkward, none):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect() if r["doc_id"] is not None]
     size, comp = brute_copies(sorted(set(rows), key=str))

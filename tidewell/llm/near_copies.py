@@ -43,6 +43,8 @@ SKETCH, PROBE, SHORT, PIVOTS = 128, 16, 12, 2
 #: of a sketch's share if the sketch holds a part of the set only.
 RARE_WHOLE, RARE_PART = 0.25, 0.42
 PARITY_LONGS = 16
+#: Rows of one list that a task takes at once; a longer list is dealt to several.
+BLOCK = 1000
 #: Candidates whose estimate is over five deviations below the limit are dropped: a linked pair with a chance under 1e-6. Small
 #: sets are estimated exactly.
 LEAST_ESTIMATE, LIKELY_ESTIMATE = 0.55, 0.70
@@ -154,15 +156,25 @@ def _alike(one: str, other: str, size: Column) -> Column:
     return differ * (100 + PERCENT) <= (100 - PERCENT) * size
 
 
-def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs on one list (v, id, n, at, parity) whose sets can still overlap enough if this is the first place they share."""
+def _blocks(rows: Column) -> Column:
+    """How many blocks so many rows are dealt to."""
+    return F.ceil(rows / BLOCK).cast("int")
+
+
+def _each(blocks: str) -> Column:
+    """One row for each block."""
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def _meeting(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Pairs on one list, or block of one, (v, id, n, at, parity) whose sets can still overlap enough if this is the first place they share."""
     kept = [c for c in ("component",) if c in left.columns]
-    x = left.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("parity").alias("xa"), *[F.col(c).alias("ca") for c in kept])
-    y = right.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("parity").alias("xb"), *[F.col(c).alias("cb") for c in kept])
+    x = left.select(*on, F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("parity").alias("xa"), *[F.col(c).alias("ca") for c in kept])
+    y = right.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("parity").alias("xb"), *[F.col(c).alias("cb") for c in kept])
     size = F.col("na") + F.col("nb")
     enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + PERCENT) >= PERCENT * size
     apart = F.col("ca") != F.col("cb") if kept else F.col("a") < F.col("b")
-    return x.join(y, (x["v"] == y["v"]) & apart & enough & _alike("xa", "xb", size))
+    return x.join(y, reduce(lambda c, k: c & (x[k] == y[k]), on, apart & enough & _alike("xa", "xb", size)))
 
 
 def _extended(components: DataFrame, edges: DataFrame, work: str) -> DataFrame:
@@ -274,10 +286,11 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     counted = first.join(first.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v").join(whole_sets.select("id", "parity"), "id")
     few = counted.where(F.col("c") <= SHORT)
     met = _meeting(few, few).select("a", "b")
-    member = stored(counted.where(F.col("c") > SHORT).select("v", "id", "n", "at", "parity"), f"{work}/members")
+    dealt = F.pmod(F.xxhash64("id"), _blocks(F.col("c"))).cast("int")
+    member = stored(counted.where(F.col("c") > SHORT).select("v", "id", "n", "at", "parity", _blocks(F.col("c")).alias("blocks"), dealt.alias("block")), f"{work}/members")
     chosen = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "parity")).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = member.groupBy("v").agg(*chosen).select("v", F.array_distinct(F.array(*[F.struct(f"p{k}.id", f"p{k}.n", f"p{k}.parity") for k in range(PIVOTS)])).alias("ps"))
-    to_pivot = member.join(pivots, "v").select("id", "n", "parity", F.explode("ps").alias("p")).where((F.col("id") != F.col("p.id")) & _alike("parity", "p.parity", F.col("n") + F.col("p.n")))
+    pivots = member.groupBy("v").agg(F.max("blocks").alias("blocks"), *chosen).select("v", _each("blocks").alias("block"), F.array_distinct(F.array(*[F.struct(f"p{k}.id", f"p{k}.n", f"p{k}.parity") for k in range(PIVOTS)])).alias("ps"))
+    to_pivot = member.join(pivots, ["v", "block"]).select("id", "n", "parity", F.explode("ps").alias("p")).where((F.col("id") != F.col("p.id")) & _alike("parity", "p.parity", F.col("n") + F.col("p.n")))
     star = to_pivot.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
     # 5. estimate and verify
@@ -289,11 +302,13 @@ def near_copies(docs: DataFrame, work: str, id_column: str = "doc_id", text_colu
     joined = _settle(candidates, spark.createDataFrame([], "node long, component long"), texts, f"{work}/first")
 
     # 6. what long lists leave in different components
-    at = stored(member.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", "n", "at", "parity", F.coalesce("component", "id").alias("component")), f"{work}/placed")
-    per = at.groupBy("v", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("v").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("v", "main")
-    apart = at.join(main, "v")
-    cross = _meeting(apart.where("component <> main"), apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    at = stored(member.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("v", "id", "n", "at", "parity", "blocks", "block", F.coalesce("component", "id").alias("component")), f"{work}/placed")
+    per = at.groupBy("v", "component", "blocks").agg(F.count("*").alias("n"))
+    main = per.groupBy("v").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("blocks").alias("blocks"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    apart = at.join(main.select("v", "main", _blocks(F.col("others")).alias("rows"), _each("blocks").alias("block")), ["v", "block"])
+    # all blocks of a list by all of its texts outside the main component, these in blocks as well
+    outside = apart.where("component <> main").withColumn("row", F.pmod(F.xxhash64("id", F.lit(1)), "rows").cast("int")).withColumn("block", _each("blocks"))
+    cross = _meeting(outside, apart.withColumn("row", _each("rows")), ("v", "row", "block")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = stored(_estimated(cross, sketches), f"{work}/left")
     if not left.isEmpty():
         joined = _settle(left, joined, texts, f"{work}/last")
