@@ -523,6 +523,18 @@ def test_every_language_has_a_model(spark):
         assert {(x["doc_id"], x["lang"]) for x in got} == {(k, f"l{k:02}") for k in range(60)}
 
 
+def test_trigrams_are_listed_once_however_texts_are_dealt(spark):
+    texts = table(spark, "documents").where("octet_length(text) between 20 and 20000 and lang is not null").select("lang", "text").distinct()
+    plain = {}
+    for r in texts.collect():
+        for code in language_id.grams(pa.array([r["text"]]))[0].tolist():
+            plain[r["lang"], code] = plain.get((r["lang"], code), 0) + 1
+    for parts in (1, 60):
+        dealt = texts.repartition(parts)
+        assert {(r["lang"], r["code"]): r["n"] for r in language_id._counted(dealt).where("n > 0").collect()} == plain
+        assert language_id._counted_in_parts(dealt).where("n > 0").count() == len(plain)
+
+
 # op9
 
 

@@ -98,8 +98,12 @@ class Model:
         return np.maximum(out - out.max(1, keepdims=True, initial=-np.inf), -MOST_EVIDENCE) if out.shape[1] else out
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    """lang, code and n: how often each trigram is in the texts of each language."""
+def _counted_in_parts(texts: DataFrame) -> DataFrame:
+    """lang, code and n: how often each trigram is in a slice of the texts of each language.
+
+    The texts of a language, a bounded sample, come together first. Else each task would list the trigrams of its few texts,
+    and the more tasks there are, the more often the same trigram would be listed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +117,12 @@ def _counted(texts: DataFrame) -> DataFrame:
                 more = np.zeros(len(own.dictionary), np.int64)
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([pairs & ((1 << BITS) - 1), more])), pa.array(np.concatenate([n, more]))], ["lang", "code", "n"])
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return texts.select("lang", "text").repartition("lang").mapInArrow(run, "lang string, code long, n long")
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """lang, code and n: how often each trigram is in the texts of each language."""
+    return _counted_in_parts(texts).groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, text_column: str = "text", language_column: str = "lang", sample: int = SAMPLE) -> Model:
