@@ -321,6 +321,20 @@ def test_url_models_count_all_urls(spark):
     assert all(0 < sum(map(len, m.after.values())) <= 2000 + sum(map(len, url_ratio.Markov(s).after.values())) for m, s in zip((few.accepted, few.rejected), url_ratio.SEEDS))
 
 
+def test_url_scores_are_whole_however_few_counts_are_sent(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij\u00e9\u65e5") for _ in range(r.randint(2, 7)))
+    urls = [f"http://{'bets' if i % 3 == 0 else 'news'}{word()}.{r.choice(['org', 'net', 'com'])}/{word()}/{word()}" for i in range(400)]
+    urls += urls[:30] + [None, "", "x://", "nothing", "a\nb://h.org/p\nq", "http://long.org/" + "ab" * 3000]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[0])], "page_id long, url string")
+    for trained in (df, df.where("page_id % 3 > 0 and page_id < 400")):  # the second has no rejected URLs
+        whole, few = url_ratio.train(trained), url_ratio.train(trained, most=300)
+        assert whole.table is None and few.table.counts.count() > 300 and few.threshold == whole.threshold
+        want, got = (sorted(map(tuple, url_ratio.judge(df, URL_RULES, m).collect()), key=str) for m in (whole, few))
+        assert got == want and len(got) == len(urls) + 1
+    assert url_ratio.judge(df.limit(0), URL_RULES, few).count() == 0
+
+
 # op6
 
 
